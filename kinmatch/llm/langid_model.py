@@ -18,7 +18,7 @@ GRAM_WEIGHT = 0.35
 SMOOTHING = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_MARKS = re.compile(r"[̀-ͯ]")
+_MARKS = re.compile("[̀-ͯ]")
 
 
 def fold(text: str) -> str:

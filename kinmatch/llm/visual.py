@@ -8,18 +8,19 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Cyrillic and Greek letters and the Latin letters that look the same (Unicode confusables).
 LOOK_ALIKE = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ѡ": "w", "ԝ": "w", "ѵ": "v",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X", "Ԝ": "W", "Ѵ": "V", "Ԍ": "G", "Ӏ": "I",
-    "α": "a", "ϲ": "c", "ε": "e", "ι": "i", "ϳ": "j", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ѐ": "è", "ё": "ë", "ї": "ï",
+    "α": "a", "ϲ": "c", "ε": "e", "ι": "i", "ϳ": "j", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
 }
 # Signs that look like an ordinary one.
-SIGNS = {"‐": "-", "‑": "-", "−": "-", "﹣": "-", "․": ".", "‚": ",", "﹐": ",", "∕": "/", "⁄": "/", "ꞌ": "'", "٬": ",", "︰": ":", "∶": ":", "׃": ":", ";": ";", "ǃ": "!", "＇": "'"}
+SIGNS = {"‐": "-", "‑": "-", "−": "-", "﹣": "-", "․": ".", "‚": ",", "﹐": ",", "∕": "/", "⁄": "/", "ꞌ": "'", "٬": ",", "︰": ":", "∶": ":", "׃": ":", ";": ";", "ǃ": "!"}
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f]")
-_BLANK = re.compile("[   -   　  \u0085]")
+_BLANK = re.compile("[   -     　\u0085]")
 _WIDE = re.compile("[！-～￠-￦ﬀ-ﬆ\U0001d400-\U0001d7ff]")
 _SIGN = re.compile("[" + "".join(map(re.escape, SIGNS)) + "]")
 #: A combining accent after a letter of an alphabet that has the accented letter as one character.
@@ -121,16 +122,18 @@ def repair(base: str, doubtful: list[tuple[str, str, str]], known: set[str]) ->
     return _LETTERS.sub(lambda m: chosen.get(m.group(), m.group()), base), True
 
 
-_DISSECTED = "base string, certain boolean, words array<struct<kind: string, word: string, form: string>>"
+_READING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("word", T.StringType()), T.StructField("form", T.StringType())])
+_DISSECTED = T.StructType([T.StructField("base", T.StringType()), T.StructField("certain", T.BooleanType()), T.StructField("words", T.ArrayType(_READING))])
+_REPAIRED = T.StructType([T.StructField("clean", T.StringType()), T.StructField("changed", T.BooleanType())])
 
 
-@F.pandas_udf(f"struct<{_DISSECTED.replace('base string', 'base: string').replace('certain boolean', 'certain: boolean').replace('words array', 'words: array')}>")
+@F.pandas_udf(_DISSECTED)
 def _dissect(values: pd.Series) -> pd.DataFrame:
     rows = [dissect(v or "") for v in values]
     return pd.DataFrame({"base": [r[0] for r in rows], "certain": [r[1] for r in rows], "words": [[dict(zip(("kind", "word", "form"), d)) for d in r[2]] for r in rows]})
 
 
-@F.pandas_udf("struct<clean: string, changed: boolean>")
+@F.pandas_udf(_REPAIRED)
 def _repair(base: pd.Series, words: pd.Series, known: pd.Series) -> pd.DataFrame:
     rows = [repair(b, [(w["kind"], w["word"], w["form"]) for w in (ws if ws is not None else [])], set(k if k is not None else [])) for b, ws, k in zip(base, words, known)]
     return pd.DataFrame({"clean": [r[0] for r in rows], "changed": [r[1] for r in rows]})
