@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.core.session import table
-from kinmatch.llm import langid, leaks, packing, topn, visual
+from kinmatch.llm import langid, leaks, packing, same_names, topn, visual
 
 #: Folder of the public tokenizers' files, by the library's own account of it.
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -74,3 +74,11 @@ def p9_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p3_found, p3_clean, p7_containers, p8_found, p9_found, p9_languages, p9_stretches)
 }
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of Source 2 records with spellings of one business's name."""
+    return same_names.same_name_pairs(table(spark, sf_dir, "train_source2"), "entity_id", "business_name")
+
+
+QUERIES[p6_found.__name__] = p6_found
