@@ -109,7 +109,7 @@ def coarse(word: str) -> str:
 @lru_cache(maxsize=200_000)
 def phonetic(word: str) -> str:
     """Consonants of the coarse form: the blocking code."""
-    return re.sub("[aeioujh]", "", coarse(word)) or coarse(word)[:2]
+    return re.sub("[aeiouh]", "", coarse(word)) or coarse(word)[:2]
 
 
 def edits(a: str, b: str, most: int) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.core.session import table
-from kinmatch.llm import langid, leaks, packing, same_names, topn, visual
+from kinmatch.llm import gazetteer, langid, leaks, linkage, packing, same_names, topn, visual
 
 #: Folder of the public tokenizers' files, by the library's own account of it.
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -82,3 +82,32 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES[p6_found.__name__] = p6_found
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of Source 3 records at the same location."""
+    return gazetteer.same_location_pairs(table(spark, sf_dir, "train_source3"), "entity_id", "business_address", "country")
+
+
+QUERIES[p1_found.__name__] = p1_found
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = {k: table(spark, sf_dir, f"train_source{k}").withColumnRenamed("entity_id", "id") for k in (1, 2, 3)}
+    truth = table(spark, sf_dir, "train_matches")
+    return linkage.link(t[1], t[2].unionByName(t[3]), truth), truth
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source 1 records without a known list, with the Source 2 and 3 records that are the same business at the same place."""
+    pairs, truth = _linked(spark, sf_dir)
+    known = truth.select(F.col("source1_entity_id").alias("id_a")).distinct()
+    return pairs.where("accepted").join(known, "id_a", "left_anti").select("id_a", "id_b")
+
+
+def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All mutual nearest pairs with their confidence."""
+    return _linked(spark, sf_dir)[0].select("id_a", "id_b", F.round("confidence", 4).alias("confidence"), "accepted")
+
+
+QUERIES |= {f.__name__: f for f in (p4_found, p4_confidence)}

@@ -86,7 +86,7 @@ def form_links(parts: DataFrame) -> DataFrame:
     bare = left.where("trade = ''").drop("trade").join(right.where("trade <> ''").drop("trade"), "k")
     pairs = same_trade.drop("trade").unionByName(bare)
     shared = F.size(F.array_intersect("own_a", "own_b")) > 0
-    near = F.least(*[F.levenshtein(F.col(x), F.col(y)) for x, y in (("s_a", "s_b"), ("s_a", "r_b"), ("z_a", "z_b"))])
+    near = F.least(*[F.levenshtein(F.col(x), F.col(y)) for x, y in (("s_a", "s_b"), ("s_a", "r_b"), ("r_a", "s_b"), ("z_a", "z_b"))])
     close = near <= F.greatest(F.lit(4), F.ceil(F.least(F.length("s_a"), F.length("s_b")) / 3))
     pairs = pairs.where(shared | close | F.col("short_a") | F.col("short_b")).dropDuplicates(["form_a", "form_b"])
     scored = pairs.withColumn("score", name_confidence("p_a", "p_b")).where("score > 0")
