@@ -301,6 +301,29 @@ def same_name(a: Name, b: Name) -> float:
     return 0.0
 
 
+def likeness(a: Name, b: Name) -> float:
+    """Loose resemblance of two names, 0 to 1, for records that other evidence already ties together.
+
+    The weakest word of the best order by Jaro-Winkler, or that of all letters run together with the line of trade.
+    """
+    foreign = a.foreign != b.foreign
+    form = coarse if foreign else str
+    m, n = len(a.own), len(b.own)
+    best = 0.0
+    if m == n and m <= 3:
+        for o in _ORDERS[m]:
+            s = 1.0
+            for i, j in enumerate(o):
+                x, y = a.own[i], b.own[j]
+                w = WEAK if (min(len(x), len(y)) <= 5 and (x.startswith(y) or y.startswith(x))) else jaro_winkler(form(x), form(y))
+                s = min(s, max(w, word_match(x, y, a.cut[i] or b.cut[j], foreign)))
+            best = max(best, s)
+    if m != n or not a.trade or not b.trade:
+        x, y = "".join(map(form, a.own)), "".join(map(form, b.own))
+        best = max(best, jaro_winkler(x, y), jaro_winkler(x + a.trade, y + b.trade))
+    return best
+
+
 _ORDERS = {1: [(0,)], 2: [(0, 1), (1, 0)], 3: [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]}
 
 
@@ -316,9 +339,16 @@ def block_keys(n: Name) -> list[str]:
     form or a shortened word leaves the other word's. Formal names stand in for familiar ones.
     """
     formal = [sorted(_FORMAL[w])[0] if w in _FORMAL and len(_FORMAL[w]) == 1 else w for w in n.own]
-    codes = [phonetic(w.replace(" ", "")) for w in formal]
+    codes = [phonetic(w) for w in formal]
     out = set()
     for order in (codes, codes[::-1]):
         s = "".join(order)
-        out |= {f"F{s[:3]}", f"L{s[-3:]}"}
+        # Four sounds of long codes, three of short ones; codes between meet both.
+        for k in (4,) if len(s) >= 10 else (3, 4) if len(s) == 9 else (3,):
+            out |= {f"F{s[:k]}", f"L{s[-k:]}"}
     return sorted(out)
+
+
+def formal_names(word: str) -> list[str]:
+    """Formal given names that a word stands for."""
+    return sorted(_FORMAL.get(word, ()))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,7 @@ from kinmatch.core.session import cut
 from kinmatch.llm import names
 from kinmatch.llm.components import connected_components
 
+_WORD = T.StructType([T.StructField("w", T.StringType()), T.StructField("c", T.StringType()), T.StructField("f", T.ArrayType(T.StringType()))])
 _NAME = T.StructType(
     [
         T.StructField("own", T.ArrayType(T.StringType())),
@@ -19,6 +20,7 @@ _NAME = T.StructType(
         T.StructField("foreign", T.BooleanType()),
         T.StructField("keys", T.ArrayType(T.StringType())),
         T.StructField("short", T.BooleanType()),
+        T.StructField("words", T.ArrayType(_WORD)),
     ]
 )
 
@@ -35,6 +37,7 @@ def parse_names(values: pd.Series) -> pd.DataFrame:
             "foreign": [n.foreign if n else None for n in rows],
             "keys": [names.block_keys(n) if n else None for n in rows],
             "short": [names.shortened(n) if n else None for n in rows],
+            "words": [[{"w": w, "c": names.coarse(w), "f": names.formal_names(w)} for w in n.own] if n else None for n in rows],
         }
     )
 
@@ -57,7 +60,7 @@ def _object(own, cut_, trade, foreign) -> names.Name:
     return names.Name(tuple(own), tuple(bool(x) for x in cut_), trade or "", bool(foreign))
 
 
-_PART = T.StructType([f for f in _NAME.fields if f.name not in ("keys", "short")])
+_PART = T.StructType([f for f in _NAME.fields if f.name not in ("keys", "short", "words")])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -70,6 +73,18 @@ def name_confidence(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+@F.pandas_udf(T.StructType([T.StructField("sure", T.DoubleType()), T.StructField("loose", T.DoubleType())]))
+def name_agreement(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """``names.same_name`` and ``names.likeness`` of two columns of name parts; NULL parts give 0."""
+    sure, loose = [], []
+    for x, y in zip(a.itertuples(index=False), b.itertuples(index=False)):
+        ok = x.own is not None and y.own is not None
+        p, q = (_object(x.own, x.cut, x.trade, x.foreign), _object(y.own, y.cut, y.trade, y.foreign)) if ok else (None, None)
+        sure.append(names.same_name(p, q) if ok else 0.0)
+        loose.append(names.likeness(p, q) if ok else 0.0)
+    return pd.DataFrame({"sure": sure, "loose": loose}, dtype="float64")
+
+
 def form_links(parts: DataFrame) -> DataFrame:
     """``a, b, score, short_a, short_b``: distinct forms that are spellings of one name, a < b.
 
@@ -78,17 +93,28 @@ def form_links(parts: DataFrame) -> DataFrame:
     that no rule could accept before any goes to Python.
     """
     part = F.struct("own", "cut", "trade", "foreign")
-    base = parts.select("form", part.alias("p"), "trade", "short", F.array_join("own", "").alias("s"), F.array_join(F.array_sort("own"), "").alias("z"), F.array_join(F.reverse("own"), "").alias("r"), "keys", "own")
+    coarse = F.transform("words", lambda x: x["c"])
+    base = parts.select(
+        "form", part.alias("p"), "trade", "short", "keys", "words",
+        F.array_join("own", "").alias("s"), F.array_join(F.reverse("own"), "").alias("r"), F.array_join(coarse, "").alias("cs"), F.array_join(F.reverse(coarse), "").alias("cr"),
+    )
     keyed = base.withColumn("k", F.explode("keys")).drop("keys")
-    left = keyed.select(*[F.col(c).alias(f"{c}_a") for c in ("form", "p", "short", "s", "z", "r", "own")], "trade", "k")
-    right = keyed.select(*[F.col(c).alias(f"{c}_b") for c in ("form", "p", "short", "s", "z", "r", "own")], "trade", "k")
+    cols = ("form", "p", "short", "words", "s", "r", "cs", "cr")
+    left = keyed.select(*[F.col(c).alias(f"{c}_a") for c in cols], "trade", "k")
+    right = keyed.select(*[F.col(c).alias(f"{c}_b") for c in cols], "trade", "k")
     same_trade = left.join(right, ["trade", "k"]).where("form_a < form_b")
     bare = left.where("trade = ''").drop("trade").join(right.where("trade <> ''").drop("trade"), "k")
-    pairs = same_trade.drop("trade").unionByName(bare)
-    shared = F.size(F.array_intersect("own_a", "own_b")) > 0
-    near = F.least(*[F.levenshtein(F.col(x), F.col(y)) for x, y in (("s_a", "s_b"), ("s_a", "r_b"), ("r_a", "s_b"), ("z_a", "z_b"))])
-    close = near <= F.greatest(F.lit(4), F.ceil(F.least(F.length("s_a"), F.length("s_b")) / 3))
-    pairs = pairs.where(shared | close | F.col("short_a") | F.col("short_b")).dropDuplicates(["form_a", "form_b"])
+
+    def partner(x: Column, y: Column) -> Column:
+        return (F.levenshtein(x["w"], y["w"]) <= 2) | x["w"].startswith(y["w"]) | y["w"].startswith(x["w"]) | (F.levenshtein(x["c"], y["c"]) <= 1) | F.arrays_overlap(x["f"], y["f"])
+
+    by_word = (F.size("words_a") == F.size("words_b")) & F.forall("words_a", lambda x: F.exists("words_b", lambda y: partner(x, y)))
+    whole = F.least(*[F.levenshtein(F.col(x), F.col(y)) for x, y in (("s_a", "s_b"), ("s_a", "r_b"), ("r_a", "s_b"))]) <= 4
+    whole_coarse = F.least(*[F.levenshtein(F.col(x), F.col(y)) for x, y in (("cs_a", "cs_b"), ("cs_a", "cr_b"), ("cr_a", "cs_b"))]) <= 1
+    run_together = ((F.size("words_a") != F.size("words_b")) | (F.size("words_a") == 1)) & (whole | whole_coarse)
+    plausible = F.coalesce(by_word, F.lit(False)) | F.coalesce(run_together, F.lit(False))
+    keep = ["form_a", "form_b", "p_a", "p_b", "short_a", "short_b"]
+    pairs = same_trade.where(plausible).select(*keep).unionByName(bare.where(plausible).select(*keep)).dropDuplicates(["form_a", "form_b"])
     scored = pairs.withColumn("score", name_confidence("p_a", "p_b")).where("score > 0")
     return scored.select(F.col("form_a").alias("a"), F.col("form_b").alias("b"), "score", F.col("short_a"), F.col("short_b"))
 
