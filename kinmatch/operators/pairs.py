@@ -134,9 +134,9 @@ def name_counts(s1: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
 def token_idf(s1: DataFrame, pool: DataFrame) -> DataFrame:
     """``country_norm, tok, idf`` of name words over both tables: ln((N + 1) / (n + 1)), N records of the country, n of them with the word."""
     both = s1.select("country_norm", "name_tok").unionByName(pool.select("country_norm", "name_tok"))
-    n = both.groupBy("country_norm").agg(F.count(F.lit(1)).alias("N"))
+    n = both.groupBy("country_norm").agg(F.count(F.lit(1)).alias("n_records"))
     df = both.select("country_norm", F.explode(F.array_distinct("name_tok")).alias("tok")).groupBy("country_norm", "tok").agg(F.count(F.lit(1)).alias("n"))
-    return df.join(n, "country_norm").select("country_norm", "tok", F.log((F.col("N") + 1) / (F.col("n") + 1)).alias("idf"))
+    return df.join(n, "country_norm").select("country_norm", "tok", F.log((F.col("n_records") + 1) / (F.col("n") + 1)).alias("idf"))
 
 
 def name_evidence(pairs: DataFrame, s1: DataFrame, pool: DataFrame, present: DataFrame | None = None, unseen: float = math.log(1e6)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinmatch.plans import skew_queries
+from kinmatch.plans import linkage_queries, linkage_sql, skew_queries
 
-QUERIES = {**skew_queries.QUERIES}
-SQL = {**skew_queries.SQL}
+QUERIES = {**linkage_queries.QUERIES, **skew_queries.QUERIES}
+SQL = {**linkage_sql.SQL, **skew_queries.SQL}
