@@ -69,33 +69,46 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(both, 200.0 * base / (base + long_a), 200.0 * base / (base + long_b))
 
 
+def _prefix_scores(at: dict[str, int], m: int, b: str, most: int) -> float:
+    """Best ratio of the string in ``at`` against beginnings of ``b`` of up to ``most`` letters: one pass for all of them."""
+    full = (1 << m) - 1
+    v, best = full, 0.0
+    for w, ch in enumerate(b[:most], 1):
+        u = v & at.get(ch, 0)
+        if u:
+            v = ((v + u) | (v - u)) & full
+            best = max(best, (m - v.bit_count()) / (m + w))
+    return 200.0 * best
+
+
+def _slide(a: str, b: str) -> float:
+    """Best ratio of ``a`` against any stretch of ``b`` of its length, or shorter at the ends; |a| <= |b|."""
+    m, n = len(a), len(b)
+    at = _positions(a)
+    best = max(_prefix_scores(at, m, b, m), _prefix_scores(_positions(a[::-1]), m, b[::-1], m))
+    # Moving the window by one letter changes its common subsequence by one at most, so windows that cannot
+    # beat the best yet are jumped over.
+    need = int(best * m // 100) + 1
+    k = 0
+    while k <= n - m and need <= m:
+        got = _lcs(at, m, b[k : k + m])
+        if got >= need:
+            best, need = 100.0 * got / m, got + 1
+        k += max(1, need - got)
+    return best
+
+
 def partial_ratio(a: str, b: str) -> float:
     """Best ``ratio`` of the shorter string against any stretch of the longer one of its length, cut off at both ends."""
     if len(a) > len(b):
         a, b = b, a
-    m, n = len(a), len(b)
-    if not m:
-        return 100.0 if not n else 0.0
+    if not a:
+        return 100.0 if not b else 0.0
     if a in b:
         return 100.0
-    at, letters = _positions(a), set(a)
-    best = 0.0
-    for begin in range(1 - m, n):
-        lo, hi = max(0, begin), min(n, begin + m)
-        # A best window begins and ends with a letter of the shorter string, unless it is cut off.
-        if lo == begin and hi == begin + m and b[hi - 1] not in letters:
-            continue
-        window = b[lo:hi]
-        if 200.0 * len(window) / (m + len(window)) <= best and len(window) < m:
-            continue
-        best = max(best, 200.0 * _lcs(at, m, window) / (m + len(window)))
-    if m == n:  # either of two equally long strings may be the one that slides
-        at, best2 = _positions(b), 0.0
-        for begin in range(1 - m, n):
-            window = a[max(0, begin) : min(n, begin + m)]
-            best2 = max(best2, 200.0 * _lcs(at, m, window) / (m + len(window)))
-        best = max(best, best2)
-    return best
+    best = _slide(a, b)
+    # Either of two equally long strings may be the one that slides.
+    return max(best, _slide(b, a)) if len(a) == len(b) else best
 
 
 def jaro(a: str, b: str) -> float:

@@ -61,7 +61,7 @@ def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
         if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF or not unicodedata.decomposition(ch):
             continue
         to = "".join(c for c in unicodedata.normalize("NFKD", ch) if not 0x300 <= ord(c) <= 0x36F)
-        if to == ch or not any(map(_kept, to)):
+        if to == ch or not any(_kept(c) or c in "&</>" for c in to):
             continue
         # What is neither kept nor special becomes a blank in any case.
         to = "".join(c if _kept(c) or c in "&</>" else " " for c in to)
