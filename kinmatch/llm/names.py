@@ -136,6 +136,29 @@ _TRADE_OF = {s: full for full, s in TRADES.items()} | {w.split()[0]: w for w in
 _TRADE_COARSE = {coarse(w.split()[0]): w for w in TRADES} | {coarse("care"): ""}
 _TRADE_LONG = sorted({(w.split()[0], w) for w in TRADES if len(w.split()[0]) >= 4})
 _LEGAL_LONG = sorted(w for w in LEGAL if len(w) >= 5)
+#: A word of syllables is a proper name rather than a mistyped short form.
+_SYLLABLES = re.compile("(?:[bdfghjklmnprstvwyz][aeiou])+.?")
+_KIND_RANK = {"trade": 0, "legal": 1, "care": 2, "short": 3}
+
+
+def _less(word: str, times: int) -> set[str]:
+    """The word and its forms with up to ``times`` letters left out."""
+    out, last = {word}, {word}
+    for _ in range(times):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return out
+
+
+_NEAR: dict[str, list[tuple[str, str, str]]] = {}
+for _w, _kind, _full in [*((w, "trade", f) for w, f in _TRADE_LONG), *((w, "legal", w) for w in _LEGAL_LONG), ("care", "care", ""), *((s, "short", f) for s, f in _TRADE_OF.items() if len(s) >= 4 and f and s in TRADES.values())]:
+    for _k in _less(_w, 2 if _kind == "trade" and len(_w) >= 9 else 1):
+        _NEAR.setdefault(_k, []).append((_w, _kind, _full))
+
+
+def _neighbours(word: str) -> set[tuple[str, str, str]]:
+    """Known words that can be within the allowed number of errors: they share a form with letters left out."""
+    return {x for k in _less(word, 2 if 7 <= len(word) <= 16 else 1) for x in _NEAR.get(k, ())}
 _LEGAL_COARSE = frozenset(coarse(w) for w in LEGAL if len(w) >= 3) | {"lp", "svt", "svt", "and"}
 
 
@@ -154,21 +177,16 @@ def _classify(word: str, exact: bool) -> tuple[str, str]:
     if exact:
         return "own", word
     best = None
-    for w, full in _TRADE_LONG:
-        allowed = 2 if len(w) >= 9 else 1
+    for w, kind, full in _neighbours(word):
+        allowed = 2 if kind == "trade" and len(w) >= 9 else 1
         d = edits(word, w, allowed)
-        if d <= allowed and (best is None or d < best[0]):
-            best = (d, full)
+        if d > allowed or (kind == "short" and (word[0] != w[0] or _SYLLABLES.fullmatch(word))):
+            continue
+        rank = (_KIND_RANK[kind], d, w)
+        if best is None or rank < best[0]:
+            best = (rank, kind, full)
     if best:
-        return "trade", best[1]
-    for w in _LEGAL_LONG:
-        if edits(word, w, 1) <= 1:
-            return "legal", w
-    if edits(word, "care", 1) <= 1 and len(word) >= 4 and word.startswith("c"):
-        return "trade", ""
-    for s, full in _TRADE_OF.items():
-        if len(s) >= 4 and full and edits(word, s, 1) <= 1 and word[0] == s[0] and not re.fullmatch("(?:[bdfghjklmnprstvwyz][aeiou])+.?", word):
-            return "trade", full
+        return ("legal", best[2]) if best[1] == "legal" else ("trade", best[2])
     return "own", word
 
 
@@ -340,11 +358,11 @@ def block_keys(n: Name) -> list[str]:
     """
     formal = [sorted(_FORMAL[w])[0] if w in _FORMAL and len(_FORMAL[w]) == 1 else w for w in n.own]
     codes = [phonetic(w) for w in formal]
-    out = set()
+    out, brief = set(), shortened(n)
     for order in (codes, codes[::-1]):
         s = "".join(order)
-        # Four sounds of long codes, three of short ones; codes between meet both.
-        for k in (4,) if len(s) >= 10 else (3, 4) if len(s) == 9 else (3,):
+        # Four sounds of long codes, three of short ones; codes between, and shortened names, meet both.
+        for k in (3, 4) if len(s) == 9 or brief else (4,) if len(s) > 9 else (3,):
             out |= {f"F{s[:k]}", f"L{s[-k:]}"}
     return sorted(out)
 
