@@ -45,6 +45,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinmatch-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # Shuffle files behind the table are dead now, but stay on disk until the driver collects its garbage.
+    spark._jvm.System.gc()
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
