@@ -32,8 +32,8 @@ def words(text: str) -> list[str]:
 
 
 def grams(word: str, n: int) -> list[str]:
-    """Character n-grams of the word with one blank on each side."""
-    padded = f" {word} "
+    """Character n-grams of the word, from two letters on with one blank on each side."""
+    padded = f" {word} " if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 

@@ -164,13 +164,13 @@ def pack(counts: DataFrame, capacity: int = 2048, group_tokens: int = GROUP_TOKE
 
     Empty and NULL texts get a place in their group's first container. Repeated ids are packed as separate items.
     """
-    counts = cut(counts)
+    counts = cut(counts.withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))))
     total = counts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     groups = max(1, round(total["t"] / group_tokens), total["n"] // 200_000)
     pieces = counts.select(
         "doc_id",
         F.posexplode(
-            F.when(F.col("n_tokens") <= capacity, F.array(F.coalesce("n_tokens", F.lit(0)))).otherwise(
+            F.when(F.col("n_tokens") <= capacity, F.array("n_tokens")).otherwise(
                 F.concat(
                     F.array_repeat(F.lit(capacity).cast("bigint"), F.floor(F.col("n_tokens") / capacity).cast("int")),
                     F.when(F.col("n_tokens") % capacity > 0, F.array(F.col("n_tokens") % capacity)).otherwise(F.array().cast("array<bigint>")),
