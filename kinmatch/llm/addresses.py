@@ -47,6 +47,8 @@ class Address:
 def ordinary(text: str) -> str:
     """Lower-case ASCII letters, look-alikes and accents made plain."""
     base = plain(text)
+    if base.isascii():
+        return base.lower()
     if not base.isascii():
         out = []
         for w in re.split(r"(\W+)", base):

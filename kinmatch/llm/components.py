@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.core.session import cut
+from kinmatch.core.session import cut, release
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -39,8 +39,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
 
     before = sign(e)
     for _ in range(max_rounds):
-        e = cut(stars(e))
+        last, e = e, cut(stars(e))
         now = sign(e)
+        release(last)
         if now == before:
             break
         before = now

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinmatch.core.session import cut
+from kinmatch.core.session import cut, release
 from kinmatch.llm import addresses
 from kinmatch.llm.components import connected_components
 
@@ -104,15 +104,20 @@ def street_entries(located: DataFrame) -> DataFrame:
     """
     key = ["country", "loc", "street", "kind"]
     known = located.where("street <> '' and loc <> ''")
-    per = known.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(F.when(F.col("post") != "", F.col("post")))), 1, 20).alias("posts"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hints")))), 1, 40).alias("hints"), F.array_sort(F.collect_set(F.when(F.col("number") != "", F.col("number")))).alias("numbers"))
+    per = known.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(F.col("post") != "", F.col("post")))).alias("posts"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hints")))).alias("hints"), F.array_sort(F.collect_set(F.when(F.col("number") != "", F.col("number")))).alias("numbers"))
     entries = cut(per.withColumn("e", F.concat_ws("|", *key)))
-    by_post = entries.select("e", "country", "loc", "kind", "street", "n", "posts", "hints", "numbers", F.explode("posts").alias("k"), F.lit("p").alias("how"))
-    by_word = entries.select("e", "country", "loc", "kind", "street", "n", "posts", "hints", "numbers", F.explode(F.transform(without_one(F.col("street")), lambda x: F.concat_ws("|", "kind", x))).alias("k"), F.lit("w").alias("how"))
+    # Where spellings meet: one row for each code and each form with a letter left out, as light as can be.
+    slim = entries.select(F.xxhash64("country", "loc").alias("at"), "e", "street", "kind", "n", "posts")
+    by_post = slim.select("e", "street", "n", F.explode(F.transform("posts", lambda x: F.xxhash64("at", F.lit("p"), x))).alias("k"))
+    by_word = slim.select("e", "street", "n", F.explode(F.transform(without_one(F.col("street")), lambda x: F.xxhash64("at", "kind", x))).alias("k"))
     keyed = by_post.unionByName(by_word)
-    a = keyed.select("country", "loc", "how", "k", *[F.col(c).alias(f"{c}_a") for c in ("e", "street", "kind", "n", "posts", "hints", "numbers")])
-    b = keyed.select("country", "loc", "how", "k", *[F.col(c).alias(f"{c}_b") for c in ("e", "street", "kind", "n", "posts", "hints", "numbers")])
+    a = keyed.select("k", *[F.col(c).alias(f"{c}_a") for c in ("e", "street", "n")])
+    b = keyed.select("k", *[F.col(c).alias(f"{c}_b") for c in ("e", "street", "n")])
     more = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("e_b") < F.col("e_a")))
-    met = a.join(b, ["country", "loc", "how", "k"]).where(more & (F.col("e_a") != F.col("e_b"))).dropDuplicates(["e_a", "e_b"])
+    similar = close_spelling(F.col("street_a"), F.col("street_b")) <= 2
+    near = a.join(b, "k").where(more & (F.col("e_a") != F.col("e_b")) & similar).select("e_a", "e_b").distinct()
+    about = ("street", "kind", "n", "posts", "hints", "numbers")
+    met = near.join(entries.select(F.col("e").alias("e_a"), *[F.col(c).alias(f"{c}_a") for c in about]), "e_a").join(entries.select(F.col("e").alias("e_b"), *[F.col(c).alias(f"{c}_b") for c in about]), "e_b")
     grade = close_spelling(F.col("street_a"), F.col("street_b"))
     posts = F.arrays_overlap("posts_a", "posts_b")
     hints = F.coalesce(F.arrays_overlap("hints_a", "hints_b"), F.lit(False)) & (F.size("hints_a") > 0)
@@ -137,9 +142,16 @@ def resolve(records: DataFrame, row_id: str, address: str, country: str) -> Data
     locality keeps up to ``BEAM`` entries of its country with its street and kind, scored by shared postal code
     and landmarks, and takes the best if it is better than the second.
     """
-    parsed = cut(records.select(F.col(row_id).alias("id"), parse_addresses(F.col(address), F.col(country)).alias("a")).distinct().select("id", "a.*"))
-    width, words = localities(parsed)
-    located = cut(locate(parsed, cut(width), cut(words)))
+    once = records.select(F.col(row_id).alias("id"), F.col(address).alias("t"), F.col(country).alias("c")).dropDuplicates(["id"])
+    return resolve_parsed(cut(once.select("id", parse_addresses("t", "c").alias("a")).select("id", "a.*")))
+
+
+def resolve_parsed(parsed: DataFrame) -> DataFrame:
+    """``resolve`` of addresses that are taken apart already, one row an id."""
+    width, words = map(cut, localities(parsed))
+    located = cut(locate(parsed, width, words))
+    release(width)
+    release(words)
     entries = cut(street_entries(located))
     key = ["country", "loc", "street", "kind"]
     own = located.where("loc <> ''").join(entries.select(*key, "street_id"), key, "left")
@@ -150,7 +162,10 @@ def resolve(records: DataFrame, row_id: str, address: str, country: str) -> Data
     beam = scored.withColumns({"r": F.row_number().over(w), "s2": F.lead("s").over(w)}).where(F.col("r") <= BEAM)
     taken = beam.where("r = 1 and (s2 is null or s2 < s)").select("id", "street_id")
     rest = located.where("loc = ''").join(taken, "id", "left")
-    return own.unionByName(rest.select(*own.columns)).select("id", "street_id", "number", "loc", "country", "post")
+    out = cut(own.unionByName(rest.select(*own.columns)).select("id", "street_id", "number", "loc", "country", "post"))
+    release(located)
+    release(entries)
+    return out
 
 
 def location_key(resolved: DataFrame) -> DataFrame:

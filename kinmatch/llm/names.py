@@ -370,3 +370,9 @@ def block_keys(n: Name) -> list[str]:
 def formal_names(word: str) -> list[str]:
     """Formal given names that a word stands for."""
     return sorted(_FORMAL.get(word, ()))
+
+
+def whole_codes(n: Name) -> list[str]:
+    """Sounds of all words together with the line of trade, in the name's order and reversed: equal for words run together or swapped."""
+    codes = [phonetic(sorted(_FORMAL[w])[0] if w in _FORMAL and len(_FORMAL[w]) == 1 else w) for w in n.own]
+    return sorted({"".join(codes) + "|" + n.trade, "".join(codes[::-1]) + "|" + n.trade})

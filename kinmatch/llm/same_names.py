@@ -21,6 +21,7 @@ _NAME = T.StructType(
         T.StructField("keys", T.ArrayType(T.StringType())),
         T.StructField("short", T.BooleanType()),
         T.StructField("words", T.ArrayType(_WORD)),
+        T.StructField("codes", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -38,6 +39,7 @@ def parse_names(values: pd.Series) -> pd.DataFrame:
             "keys": [names.block_keys(n) if n else None for n in rows],
             "short": [names.shortened(n) if n else None for n in rows],
             "words": [[{"w": w, "c": names.coarse(w), "f": names.formal_names(w)} for w in n.own] if n else None for n in rows],
+            "codes": [names.whole_codes(n) if n else None for n in rows],
         }
     )
 
@@ -60,7 +62,7 @@ def _object(own, cut_, trade, foreign) -> names.Name:
     return names.Name(tuple(own), tuple(bool(x) for x in cut_), trade or "", bool(foreign))
 
 
-_PART = T.StructType([f for f in _NAME.fields if f.name not in ("keys", "short", "words")])
+_PART = T.StructType([f for f in _NAME.fields if f.name not in ("keys", "short", "words", "codes")])
 
 
 @F.pandas_udf(T.DoubleType())

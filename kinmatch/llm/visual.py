@@ -50,6 +50,8 @@ def plain(text: str) -> str:
 
     Joiners between two letters of an Indic or Arabic word are spelling, not invisible filling, and stay.
     """
+    if text.isascii() and text.isprintable():
+        return text
     held = _JOINER.sub(lambda m: "" if m.group() == "‌" else "", text)
     held = _INVISIBLE.sub("", held).replace("", "‌").replace("", "‍")
     held = _BLANK.sub(" ", held)
