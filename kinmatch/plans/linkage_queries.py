@@ -11,7 +11,8 @@ from kinmatch.functions.similarity import similarities
 from kinmatch.operators import blocking, decision, normalize, pairs, scoring
 from kinmatch.sources import tables
 
-#: Document frequency cap of every key kind, and candidates per record.
+#: Document frequency cap of every key kind, and candidates per record, of the queries over the small tables. The whole job
+#: (``key_df_idf_whole``, ``candidates_whole``) takes both from ``tables.Settings``: 500 and 300, as the reference.
 CAPS = {k: 50 for k in blocking.KINDS}
 TOP_K = 20
 KS = [5, 10, 20, 50, 100]
@@ -104,6 +105,17 @@ def candidates_topk(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(blocking.candidates(_s1(spark, d), table(spark, d, "train_pool"), CAPS, TOP_K))
 
 
+def key_df_idf_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``key_df_idf`` under the reference's caps."""
+    return _rounded(blocking.key_idf(table(spark, d, "train_pool"), tables.Settings().max_df))
+
+
+def candidates_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``candidates_topk`` with the reference's caps and number of candidates."""
+    settings = tables.Settings()
+    return _rounded(blocking.candidates(_s1(spark, d), table(spark, d, "train_pool"), settings.max_df, settings.top_k))
+
+
 def candidate_context(spark: SparkSession, d: str) -> DataFrame:
     """Ranks and gaps of every candidate score on both sides."""
     return _rounded(pairs.group_features(_cands(spark, d).select("s1_idx", "pool_idx", "bscore")))
@@ -245,7 +257,7 @@ def pair_model(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        candidates_topk, source_records, clean_text, tokenize, normalize_s1, normalize_pool, abbrev_expand, name_deva_flag, numeric_tokens, block_keys, key_df_idf, candidate_context, token_jaccard,
+        candidates_topk, source_records, clean_text, tokenize, normalize_s1, normalize_pool, abbrev_expand, name_deva_flag, numeric_tokens, block_keys, key_df_idf, key_df_idf_whole, candidates_whole, candidate_context, token_jaccard,
         name_ambiguity, token_idf, name_evidence, leftover_similarity, sim_jaro_winkler, pair_features, stage2_context, decide_threshold, decide_exclusive, expected_f, macro_f05, blocking_report,
         recall_at_k, threshold_sweep, label_join, semi_truth, hash_fold, absent_entities, translit_learn, translit_apply, id_lists, rerank, pair_model,
     )

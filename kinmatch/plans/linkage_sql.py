@@ -211,3 +211,9 @@ SQL = {
         WITH {_CANDS}, {_EXCLUSIVE}, g AS (SELECT b.s1_idx, string_agg(q.eid, ',' ORDER BY q.eid) AS ids FROM best b JOIN train_pool q ON q.idx = b.pool_idx WHERE b.p >= 0.6 GROUP BY b.s1_idx)
         SELECT s.eid AS source1_entity_id, COALESCE(ids, '') AS matched_entity_ids FROM train_s1 s LEFT JOIN g ON g.s1_idx = s.idx""",
 }
+
+# The same with the reference's caps and number of candidates.
+SQL |= {
+    "key_df_idf_whole": SQL["key_df_idf"].replace("HAVING COUNT(*) <= 50)", "HAVING COUNT(*) <= 500)"),
+    "candidates_whole": SQL["candidates_topk"].replace("HAVING COUNT(*) <= 50)", "HAVING COUNT(*) <= 500)").replace("WHERE r <= 20", "WHERE r <= 300"),
+}

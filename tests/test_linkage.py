@@ -144,3 +144,22 @@ def test_evidence_counts_only_present_entities(spark):
     assert r[6]["shared_idf_sum"] == 0 and r[6]["poolonly_idf_max"] == 0
     p = pairs.name_evidence(prs, s1, pool, present=spark.createDataFrame([(0,)], "idx long")).where(F.col("pool_idx") == 5).first()
     assert p["n_s1_same_name_a"] == 1
+
+
+def test_whole_candidates_keep_keys_of_the_reference_caps(spark, tmp_path):
+    import duckdb
+
+    from kinmatch.plans import catalogue
+
+    schema = "idx bigint, country_norm string, name_tok array<string>, addr_tok array<string>"
+    # "often" stands in 400 records, "lots" in 501 and is no key; 400 records share a key, 300 of them are kept.
+    pool = [(i, "in", ["often"] if i < 400 else ["lots"], []) for i in range(901)]
+    tables_ = {"train_pool": spark.createDataFrame(pool, schema), "train_s1": spark.createDataFrame([(0, "in", ["often", "lots"], [])], schema)}
+    con = duckdb.connect()
+    for name, df in tables_.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name, n in (("candidates_whole", 300), ("key_df_idf_whole", 1)):
+        got = sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert len(got) == n
+        assert got == sorted(con.execute(catalogue.SQL[name]).fetchall())
