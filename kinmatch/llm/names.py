@@ -253,6 +253,8 @@ def parse(name: str | None) -> Name | None:
 
 #: Below STRONG, a match rests on a shortened word or a missing line of trade, which may fit several names.
 STRONG, WEAK = 0.86, 0.85
+#: Jaro-Winkler similarity from which two words of four letters and more are spellings of one.
+JW_LEAST = 0.92
 
 
 def word_match(a: str, b: str, cut: bool, foreign: bool) -> float:
@@ -270,10 +272,11 @@ def word_match(a: str, b: str, cut: bool, foreign: bool) -> float:
     short = min(len(a), len(b))
     if short <= 3:
         return WEAK if (a.startswith(b) or b.startswith(a)) and max(len(a), len(b)) >= 5 else 0.0
+    # Few errors count at any place; Jaro-Winkler, which makes much of the first letters, accepts more of them.
+    jw = jaro_winkler(ca if foreign else a, cb if foreign else b)
     most = 1 if short < 9 else 2
-    if edits(a, b, most) <= most or (foreign and edits(ca, cb, 1) <= 1):
-        # Jaro-Winkler grades what the edit bound lets through.
-        return max(STRONG, 0.95 * jaro_winkler(ca if foreign else a, cb if foreign else b))
+    if jw >= JW_LEAST or edits(a, b, most) <= most or (foreign and edits(ca, cb, 1) <= 1):
+        return max(STRONG, 0.95 * jw)
     return 0.0
 
 

@@ -22,6 +22,7 @@ _NAME = T.StructType(
         T.StructField("short", T.BooleanType()),
         T.StructField("words", T.ArrayType(_WORD)),
         T.StructField("codes", T.ArrayType(T.StringType())),
+        T.StructField("joined", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -40,6 +41,7 @@ def parse_names(values: pd.Series) -> pd.DataFrame:
             "short": [names.shortened(n) if n else None for n in rows],
             "words": [[{"w": w, "c": names.coarse(w), "f": names.formal_names(w)} for w in n.own] if n else None for n in rows],
             "codes": [names.whole_codes(n) if n else None for n in rows],
+            "joined": [[names.coarse("".join(n.own)), names.coarse("".join(n.own[::-1]))] if n else None for n in rows],
         }
     )
 
@@ -62,7 +64,7 @@ def _object(own, cut_, trade, foreign) -> names.Name:
     return names.Name(tuple(own), tuple(bool(x) for x in cut_), trade or "", bool(foreign))
 
 
-_PART = T.StructType([f for f in _NAME.fields if f.name not in ("keys", "short", "words", "codes")])
+_PART = T.StructType([f for f in _NAME.fields if f.name not in ("keys", "short", "words", "codes", "joined")])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -92,13 +94,14 @@ def form_links(parts: DataFrame) -> DataFrame:
 
     Forms meet in blocks of a line of trade and a phonetic code. Forms without a line of trade meet every trade
     through a block of the code alone, from their side only. A JVM comparison of the joined letters drops pairs
-    that no rule could accept before any goes to Python.
+    that no rule of ``names.same_name`` could accept before any goes to Python.
     """
     part = F.struct("own", "cut", "trade", "foreign")
-    coarse = F.transform("words", lambda x: x["c"])
+    letters = lambda w: F.array_join(F.array_sort(F.split(w, "")), "")
+    words = F.transform("words", lambda x: F.struct(x["w"], x["c"], x["f"], letters(x["w"]).alias("sw"), letters(x["c"]).alias("sc")))
     base = parts.select(
-        "form", part.alias("p"), "trade", "short", "keys", "words",
-        F.array_join("own", "").alias("s"), F.array_join(F.reverse("own"), "").alias("r"), F.array_join(coarse, "").alias("cs"), F.array_join(F.reverse(coarse), "").alias("cr"),
+        "form", part.alias("p"), "trade", "short", "keys", words.alias("words"),
+        F.array_join("own", "").alias("s"), F.array_join(F.reverse("own"), "").alias("r"), F.col("joined")[0].alias("cs"), F.col("joined")[1].alias("cr"),
     )
     keyed = base.withColumn("k", F.explode("keys")).drop("keys")
     cols = ("form", "p", "short", "words", "s", "r", "cs", "cr")
@@ -107,12 +110,24 @@ def form_links(parts: DataFrame) -> DataFrame:
     same_trade = left.join(right, ["trade", "k"]).where("form_a < form_b")
     bare = left.where("trade = ''").drop("trade").join(right.where("trade <> ''").drop("trade"), "k")
 
+    # Jaro-Winkler from JW_LEAST on needs this sum of the shares of matched letters in both words. Sorted letters are no
+    # further apart than the letters without a match.
+    shares = 3 * (names.JW_LEAST - 0.4) / 0.6 - 1
+
+    def alike(x: Column, y: Column) -> Column:
+        both = F.length(x) + F.length(y)
+        return F.levenshtein(x, y) <= both - 2 * shares * F.length(x) * F.length(y) / both + 1e-9
+
     def partner(x: Column, y: Column) -> Column:
-        return (F.levenshtein(x["w"], y["w"]) <= 2) | x["w"].startswith(y["w"]) | y["w"].startswith(x["w"]) | (F.levenshtein(x["c"], y["c"]) <= 1) | F.arrays_overlap(x["f"], y["f"])
+        # A swap of neighbours is one error of ``names.edits``, but two here, and leaves the sorted letters as they are.
+        d = F.levenshtein(x["w"], y["w"])
+        typed = (d <= 2) | ((d <= 4) & (F.levenshtein(x["sw"], y["sw"]) <= 2)) | alike(x["sw"], y["sw"])
+        sounds = (F.levenshtein(x["c"], y["c"]) <= 1) | alike(x["sc"], y["sc"]) | (x["sc"] == y["sc"])
+        return typed | x["w"].startswith(y["w"]) | y["w"].startswith(x["w"]) | F.when(F.col("p_a.foreign") != F.col("p_b.foreign"), sounds).otherwise(False) | F.arrays_overlap(x["f"], y["f"])
 
     by_word = (F.size("words_a") == F.size("words_b")) & F.forall("words_a", lambda x: F.exists("words_b", lambda y: partner(x, y)))
     whole = F.least(*[F.levenshtein(F.col(x), F.col(y)) for x, y in (("s_a", "s_b"), ("s_a", "r_b"), ("r_a", "s_b"))]) <= 4
-    whole_coarse = F.least(*[F.levenshtein(F.col(x), F.col(y)) for x, y in (("cs_a", "cs_b"), ("cs_a", "cr_b"), ("cr_a", "cs_b"))]) <= 1
+    whole_coarse = F.least(*[F.levenshtein(F.col(x), F.col(y)) for x, y in (("cs_a", "cs_b"), ("cs_a", "cr_b"), ("cr_a", "cs_b"))]) <= 2
     run_together = ((F.size("words_a") != F.size("words_b")) | (F.size("words_a") == 1)) & (whole | whole_coarse)
     plausible = F.coalesce(by_word, F.lit(False)) | F.coalesce(run_together, F.lit(False))
     keep = ["form_a", "form_b", "p_a", "p_b", "short_a", "short_b"]
