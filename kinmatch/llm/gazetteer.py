@@ -71,11 +71,13 @@ def localities(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return width, words.unionByName(anywhere.select(F.lit("").alias("country"), "place", F.concat_ws("|", "b.country", "b.loc").alias("loc"), "n"))
 
 
-def locate(parsed: DataFrame, width: DataFrame, words: DataFrame) -> DataFrame:
-    """``parsed`` (with ``id``) plus ``loc``, the locality, "" where nothing tells it; NULL countries filled in from the place.
+def locate(parsed: DataFrame, width: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``parsed`` (with ``id``) plus ``loc``, the locality, "" where nothing tells it; NULL countries filled in from the place;
+    ``id, country, loc, s, r``: the proposals of addresses that have several).
 
     First step of the search: the postal code and every place word propose localities; the code counts double, a
-    word misspelt by one letter half. The best ``BEAM`` proposals are kept while they are scored, then the best one.
+    word misspelt by one letter half. The best ``BEAM`` proposals go on to the street step; the first
+    of them stands until then.
     """
     base = parsed.join(F.broadcast(width), "country", "left").withColumn("width", F.coalesce("width", F.lit(3)))
     code = base.where("post <> ''").select("id", "country", F.expr("substring(post, 1, width)").alias("loc"), F.lit(2.0).alias("s"))
@@ -88,9 +90,39 @@ def locate(parsed: DataFrame, width: DataFrame, words: DataFrame) -> DataFrame:
     near = lost.withColumn("k", F.explode(without_one(F.col("place")))).join(sure, ["c", "k"]).where(close_spelling(F.col("place"), F.col("right")) <= 1)
     fuzzy = near.select("id", F.col("c").alias("country"), "loc", F.lit(0.5).alias("s"))
     votes = code.where("country <> ''").unionByName(named).unionByName(fuzzy).groupBy("id", "country", "loc").agg(F.sum("s").alias("s"))
-    beam = votes.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "country", "loc"))).where(F.col("r") <= BEAM)
+    by_id = Window.partitionBy("id")
+    ranked = votes.withColumns({"r": F.row_number().over(by_id.orderBy(F.desc("s"), "country", "loc")), "of": F.count(F.lit(1)).over(by_id)})
+    beam = cut(ranked.where(F.col("r") <= BEAM))
     best = beam.where("r = 1").select("id", F.col("country").alias("_c"), F.col("loc").alias("_l"))
-    return parsed.join(best, "id", "left").withColumns({"country": F.coalesce("_c", "country"), "loc": F.coalesce("_l", F.lit(""))}).drop("_c", "_l")
+    located = parsed.join(best, "id", "left").withColumns({"country": F.coalesce("_c", "country"), "loc": F.coalesce("_l", F.lit(""))}).drop("_c", "_l")
+    return located, beam.where("of > 1").drop("of")
+
+
+def _spelt(*at: str) -> Column:
+    """Codes under which a street meets spellings one error away at the same place."""
+    return F.explode(F.transform(without_one(F.col("street")), lambda x: F.xxhash64(*at, "kind", x)))
+
+
+def choose(located: DataFrame, rivals: DataFrame, entries: DataFrame) -> DataFrame:
+    """``id, country, loc, street_id`` of addresses for which another proposal than the first fits its street better.
+
+    A proposal's votes and the best entry of the street there, as spelt or one error away, are scored together: the
+    entry counts by its spelling, more with the full postal code or a landmark in common. An entry counts
+    only if addresses without a rival proposal have made it.
+    """
+    h = rivals.join(located.where("street <> ''").select("id", "street", "kind", "post", "hints"), "id")
+    key = ["country", "loc", "street", "kind"]
+    unsure = h.where("r = 1").groupBy(*key).agg(F.count(F.lit(1)).alias("unsure"))
+    known = entries.join(unsure, key, "left").where(F.col("n") > F.coalesce("unsure", F.lit(0)))
+    e = known.select("street_id", "n", "posts", F.col("hints").alias("eh"), F.col("street").alias("es"), _spelt("country", "loc").alias("k"))
+    met = h.withColumn("k", _spelt("country", "loc")).join(e, "k")
+    grade = close_spelling(F.col("street"), F.col("es"))
+    more = F.when(F.array_contains("posts", F.col("post")), 0.5).otherwise(0.0) + F.when(F.arrays_overlap("hints", "eh"), 0.25).otherwise(0.0)
+    fit = met.where(grade <= 1).select("id", "r", "street_id", "n", (F.when(grade == 0, 1.5).otherwise(1.25) + more).alias("f"))
+    fit = fit.groupBy("id", "r").agg(F.max(F.struct("f", "n", "street_id")).alias("b"))
+    total = h.select("id", "r", "country", "loc", "s").join(fit, ["id", "r"], "left").withColumn("t", F.col("s") + F.coalesce("b.f", F.lit(0.0)))
+    top = total.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("t"), "r"))).where("p = 1 and r > 1")
+    return top.select("id", F.col("country").alias("_c"), F.col("loc").alias("_l"), F.col("b.street_id").alias("_s"))
 
 
 def street_entries(located: DataFrame) -> DataFrame:
@@ -138,9 +170,10 @@ def street_entries(located: DataFrame) -> DataFrame:
 def resolve(records: DataFrame, row_id: str, address: str, country: str) -> DataFrame:
     """``id, street_id, number, loc, country, post`` of every record with a non-empty address; ``street_id`` NULL where unresolved.
 
-    Second step of the search: an address whose locality is known takes its own spelling's entry. One without a
-    locality keeps up to ``BEAM`` entries of its country with its street and kind, scored by shared postal code
-    and landmarks, and takes the best if it is better than the second.
+    Second step of the search: an address takes its own spelling's entry in its locality, or the entry of another
+    proposed locality if that fits better together (``choose``). One without a locality takes the entry of its country
+    with its street and kind, scored by spelling, postal code and landmarks, if it is better than the second; a misspelt
+    street needs a code or landmark in common. A street that is nowhere in the gazetteer is an entry of its own.
     """
     once = records.select(F.col(row_id).alias("id"), F.col(address).alias("t"), F.col(country).alias("c")).dropDuplicates(["id"])
     return resolve_parsed(cut(once.select("id", parse_addresses("t", "c").alias("a")).select("id", "a.*")))
@@ -149,20 +182,29 @@ def resolve(records: DataFrame, row_id: str, address: str, country: str) -> Data
 def resolve_parsed(parsed: DataFrame) -> DataFrame:
     """``resolve`` of addresses that are taken apart already, one row an id."""
     width, words = map(cut, localities(parsed))
-    located = cut(locate(parsed, width, words))
+    located, rivals = locate(parsed, width, words)
+    located = cut(located)
     release(width)
     release(words)
     entries = cut(street_entries(located))
     key = ["country", "loc", "street", "kind"]
-    own = located.where("loc <> ''").join(entries.select(*key, "street_id"), key, "left")
-    adrift = located.where("loc = '' and street <> ''")
-    options = adrift.join(entries.select("country", "street", "kind", "street_id", F.col("hints").alias("eh"), "n"), ["country", "street", "kind"])
-    scored = options.groupBy("id", "street_id").agg(F.max(F.when(F.arrays_overlap("hints", "eh"), 1).otherwise(0)).alias("s"), F.sum("n").alias("n"))
+    own = located.where("loc <> ''").join(entries.select(*key, "street_id"), key, "left").join(choose(located, rivals, entries), "id", "left")
+    own = own.withColumns({"street_id": F.when(F.col("_l").isNotNull(), F.col("_s")).otherwise(F.col("street_id")), "country": F.coalesce("_c", "country"), "loc": F.coalesce("_l", "loc")})
+    adrift = located.where("loc = '' and street <> ''").select("id", "country", "street", "kind", "post", "hints")
+    e = entries.select("street_id", "n", "posts", F.col("hints").alias("eh"), F.col("street").alias("es"), _spelt("country").alias("k"))
+    met = adrift.withColumn("k", _spelt("country")).join(e, "k")
+    grade = close_spelling(F.col("street"), F.col("es"))
+    more = F.when(F.array_contains("posts", F.col("post")), 1).otherwise(0) + F.when(F.arrays_overlap("hints", "eh"), 1).otherwise(0)
+    options = met.select("id", "street_id", "es", "n", grade.alias("g"), more.alias("more")).distinct().where("g = 0 or (g = 1 and more > 0)")
+    scored = options.groupBy("id", "street_id").agg(F.max(F.col("more") + F.when(F.col("g") == 0, 2).otherwise(0)).alias("s"), F.sum("n").alias("n"))
     w = Window.partitionBy("id").orderBy(F.desc("s"), F.desc("n"), "street_id")
-    beam = scored.withColumns({"r": F.row_number().over(w), "s2": F.lead("s").over(w)}).where(F.col("r") <= BEAM)
-    taken = beam.where("r = 1 and (s2 is null or s2 < s)").select("id", "street_id")
-    rest = located.where("loc = ''").join(taken, "id", "left")
-    out = cut(own.unionByName(rest.select(*own.columns)).select("id", "street_id", "number", "loc", "country", "post"))
+    first = scored.withColumns({"r": F.row_number().over(w), "s2": F.lead("s").over(w)}).where("r = 1")
+    # Equally good entries leave an address unresolved; no entry at all makes one.
+    taken = first.select("id", F.when(F.col("s2").isNull() | (F.col("s2") < F.col("s")), F.col("street_id")).alias("street_id"), F.lit(True).alias("_met"))
+    rest = located.where("loc = ''").join(taken, "id", "left").withColumn("street_id", F.when(F.col("_met").isNull() & (F.col("street") != ""), F.concat_ws("|", *key)).otherwise(F.col("street_id")))
+    cols = ["id", "street_id", "number", "loc", "country", "post"]
+    out = cut(own.select(*cols).unionByName(rest.select(*cols)))
+    release(rivals)
     release(located)
     release(entries)
     return out
