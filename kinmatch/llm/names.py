@@ -307,6 +307,8 @@ def same_name(a: Name, b: Name) -> float:
             best = max(best, s)
         if best:
             return best * full
+    if m == n and m > 3 and (best := _paired(a, b, foreign)):
+        return best * full
     if m != n or m == 1:
         x, y = "".join(a.own), "".join(b.own)
         options = {x} | ({"".join(reversed(a.own))} if m == 2 else set())
@@ -322,6 +324,27 @@ def same_name(a: Name, b: Name) -> float:
     return 0.0
 
 
+def _paired(a: Name, b: Name, foreign: bool) -> float:
+    """``same_name`` of the own words of two names with equally many, by the rule for few words: equal words are paired first, the rest in the best order."""
+    left, right = list(range(len(a.own))), list(range(len(b.own)))
+    for i in range(len(a.own)):
+        if j := [j for j in right if b.own[j] == a.own[i]]:
+            left.remove(i)
+            right.remove(j[0])
+    # Best least agreement by the words of b taken and the number of pairs under 0.95.
+    states = {(frozenset(), 0): 1.0}
+    for i in left:
+        after: dict[tuple[frozenset[int], int], float] = {}
+        for j in right:
+            if w := word_match(a.own[i], b.own[j], a.cut[i] or b.cut[j], foreign):
+                for (taken, weak), s in states.items():
+                    k, t = (taken | {j}, weak + (w < 0.95)), min(s, w)
+                    if j not in taken and not (k[1] > 1 and t < STRONG):
+                        after[k] = max(after.get(k, 0.0), t)
+        states = after
+    return max(states.values(), default=0.0)
+
+
 def likeness(a: Name, b: Name) -> float:
     """Loose resemblance of two names, 0 to 1, for records that other evidence already ties together.
 
@@ -354,7 +377,8 @@ def shortened(n: Name) -> bool:
 
 
 def block_keys(n: Name) -> list[str]:
-    """Codes under which spellings of one name meet: first and last sounds of the words in sorted and reversed order.
+    """Codes under which spellings of one name meet: first and last sounds of the words in typed and reversed order.
+    Three words and more also meet by their sorted codes, all of them and with each one left out, whatever their order.
 
     A typing error touches the first or the last sounds, not both; a word run together keeps both; a familiar
     form or a shortened word leaves the other word's. Formal names stand in for familiar ones.
@@ -362,7 +386,11 @@ def block_keys(n: Name) -> list[str]:
     formal = [sorted(_FORMAL[w])[0] if w in _FORMAL and len(_FORMAL[w]) == 1 else w for w in n.own]
     codes = [phonetic(w) for w in formal]
     out, brief = set(), shortened(n)
-    for order in (codes, codes[::-1]):
+    orders = [codes, codes[::-1]]
+    if len(codes) > 2:
+        by_code = sorted(codes)
+        orders += [by_code, *(by_code[:i] + by_code[i + 1 :] for i in range(len(by_code)))]
+    for order in orders:
         s = "".join(order)
         # Four sounds of long codes, three of short ones; codes between, and shortened names, meet both.
         for k in (3, 4) if len(s) == 9 or brief else (4,) if len(s) > 9 else (3,):
