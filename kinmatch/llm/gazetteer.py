@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinmatch.core.session import cut, release
 from kinmatch.llm import addresses
@@ -24,13 +25,15 @@ _ADDRESS = T.StructType(
 )
 
 
-@F.pandas_udf(_ADDRESS)
-def parse_addresses(text: pd.Series, country: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_ADDRESS)
+def parse_addresses(text: pa.Array, country: pa.Array) -> pa.Array:
     """``addresses.parse`` of columns."""
-    lands = [addresses.country_of(c) for c in country]
-    rows = [addresses.parse(t, c) for t, c in zip(text, lands)]
-    out = {c: [getattr(r, c) for r in rows] for c in ("number", "street", "kind", "post", "places", "hints")}
-    return pd.DataFrame({"country": lands, **out})
+    spelt: dict[str | None, str] = {}
+    lands = [spelt[c] if c in spelt else spelt.setdefault(c, addresses.country_of(c)) for c in country.to_pylist()]
+    rows = [addresses.parse(t, c) for t, c in zip(text.to_pylist(), lands)]
+    columns = [pa.array(lands, pa.string())]
+    columns += [pa.array([getattr(r, f.name) for r in rows], to_arrow_type(f.dataType)) for f in _ADDRESS.fields[1:]]
+    return pa.StructArray.from_arrays(columns, _ADDRESS.names)
 
 
 def close_spelling(a: Column, b: Column) -> Column:

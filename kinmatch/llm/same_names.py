@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinmatch.core.session import cut
 from kinmatch.llm import names
@@ -27,23 +29,39 @@ _NAME = T.StructType(
 )
 
 
-@F.pandas_udf(_NAME)
-def parse_names(values: pd.Series) -> pd.DataFrame:
-    """``names.parse`` with block keys; all NULL where a value is no name."""
-    rows = [names.parse(v) for v in values]
-    return pd.DataFrame(
-        {
-            "own": [list(n.own) if n else None for n in rows],
-            "cut": [list(n.cut) if n else None for n in rows],
-            "trade": [n.trade if n else None for n in rows],
-            "foreign": [n.foreign if n else None for n in rows],
-            "keys": [names.block_keys(n) if n else None for n in rows],
-            "short": [names.shortened(n) if n else None for n in rows],
-            "words": [[{"w": w, "c": names.coarse(w), "f": names.formal_names(w)} for w in n.own] if n else None for n in rows],
-            "codes": [names.whole_codes(n) if n else None for n in rows],
-            "joined": [[names.coarse("".join(n.own)), names.coarse("".join(n.own[::-1]))] if n else None for n in rows],
-        }
-    )
+#: What tells names apart, without the parts that only ``form_links`` needs.
+_BRIEF = T.StructType([f for f in _NAME.fields if f.name in ("own", "cut", "trade", "foreign", "short", "codes")])
+
+_PARTS = {
+    "own": lambda n: n.own,
+    "cut": lambda n: n.cut,
+    "trade": lambda n: n.trade,
+    "foreign": lambda n: n.foreign,
+    "keys": names.block_keys,
+    "short": names.shortened,
+    "words": lambda n: [{"w": w, "c": names.coarse(w), "f": names.formal_names(w)} for w in n.own],
+    "codes": names.whole_codes,
+    "joined": lambda n: [names.coarse("".join(n.own)), names.coarse("".join(n.own[::-1]))],
+}
+
+
+def _parser(schema: T.StructType):
+    """An Arrow UDF that takes names apart into the fields of ``schema``; all NULL where a value is no name."""
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
+
+    @F.arrow_udf(schema)
+    def parse(values: pa.Array) -> pa.Array:
+        rows = [names.parse(v) for v in values.to_pylist()]
+        columns = [pa.array([_PARTS[c](n) if n else None for n in rows], t) for c, t in fields]
+        return pa.StructArray.from_arrays(columns, [c for c, _ in fields])
+
+    return parse
+
+
+#: ``names.parse`` with everything that ``form_links`` needs.
+parse_names = _parser(_NAME)
+#: ``names.parse`` with the parts that are compared, and the codes.
+parse_names_briefly = _parser(_BRIEF)
 
 
 def forms(records: DataFrame, row_id: str, name: str) -> tuple[DataFrame, DataFrame]:
