@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -44,9 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinmatch-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files behind the table are dead now, but stay on disk until the driver collects its garbage.
-    spark._jvm.System.gc()
+    # Shuffle files behind the table are dead once it is written: the execution removes them at its end, rather
+    # than whenever the driver happens to collect its garbage.
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
