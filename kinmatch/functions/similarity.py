@@ -161,6 +161,8 @@ def similarities(pairs: dict[str, tuple[str, Column, Column]]) -> Column:
 
     All scores of a row are made in one trip to Python. NULL counts as the empty string.
     """
+    from kinmatch.functions import batch
+
     names = list(pairs)
     columns: list[Column] = []
     where: dict[str, int] = {}
@@ -177,6 +179,6 @@ def similarities(pairs: dict[str, tuple[str, Column, Column]]) -> Column:
     @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
     def run(data: pd.DataFrame) -> pd.DataFrame:
         values = [data[c].tolist() for c in data.columns]
-        return pd.DataFrame({n: [SCORERS[s](x, y) for x, y in zip(values[i], values[j])] for n, (s, i, j) in zip(names, plan)})
+        return pd.DataFrame({n: batch.SCORERS[s](values[i], values[j]) for n, (s, i, j) in zip(names, plan)})
 
     return run(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]))

@@ -48,8 +48,8 @@ def key_idf(pool: DataFrame, caps: dict[str, int]) -> DataFrame:
 def postings(pool: DataFrame, caps: dict[str, int]) -> DataFrame:
     """The inverted index: ``country_norm, t, key, pool_idx, idf``.
 
-    The cap makes every posting list short, so the list can be collected next to its count: one shuffle gives both
-    the document frequency and the records, instead of a count and a second join.
+    The count comes first and combines where the keys arise, so a key that most records have never gathers in one task; the
+    keys within the cap are then joined to their records, which makes short lists only.
     """
     cap = F.lit(None).cast("int")
     for kind, most in caps.items():

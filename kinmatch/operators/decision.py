@@ -113,13 +113,19 @@ def threshold_sweep(scores: DataFrame, entities: DataFrame, pool: DataFrame, thr
     """``thr, only_best`` and the macro F figures of every rule, in one job instead of one run per rule.
 
     A pool record's best pair passes a threshold whenever any of its pairs does, so exclusiveness is settled once.
-    Each pair goes to the thresholds it passes; entities without a pair at a threshold join from the outside.
+    The counts of all rules are columns of one row an entity; only that row is shuffled and joined. It is spread over the
+    rules right before the last aggregate, which combines the rows of a rule where they arise.
     """
     ranked = scores.withColumn("_r", F.row_number().over(Window.partitionBy("pool_idx").orderBy(F.desc(p), "s1_idx")))
     lab = ranked.join(pool.select(F.col("idx").alias("pool_idx"), "gid"), "pool_idx", "left")
-    rules = F.array(*[F.struct(F.lit(t).alias("thr"), F.lit(b).alias("only_best")) for t in thresholds for b in (True, False)])
-    fit = F.filter(rules, lambda r: (F.col(p) >= r["thr"]) & (~r["only_best"] | (F.col("_r") == 1)))
-    got = lab.select("s1_idx", "gid", F.inline(fit)).groupBy("s1_idx", "thr", "only_best").agg(F.count(F.lit(1)).alias("n_pred"), F.count_if(F.col("gid") == F.col("s1_idx")).alias("tp"))
+    counts, cells = [], []
+    for i, t in enumerate(thresholds):
+        for only in (True, False):
+            passes = (F.col(p) >= t) & (F.col("_r") == 1) if only else F.col(p) >= t
+            n, hit = f"_n{i}{only}", f"_t{i}{only}"
+            counts += [F.count_if(passes).alias(n), F.count_if(passes & (F.col("gid") == F.col("s1_idx"))).alias(hit)]
+            cells.append(F.struct(F.lit(t).alias("thr"), F.lit(only).alias("only_best"), F.coalesce(n, F.lit(0)).alias("n_pred"), F.coalesce(hit, F.lit(0)).alias("tp")))
+    got = lab.groupBy("s1_idx").agg(*counts)
     truth = pool.where("gid >= 0").groupBy(F.col("gid").alias("s1_idx")).agg(F.count(F.lit(1)).alias("n_true"))
-    grid = entities.select("s1_idx", F.inline(rules)).join(truth, "s1_idx", "left").join(got, ["s1_idx", "thr", "only_best"], "left").na.fill(0, ["n_true", "n_pred", "tp"])
-    return macro_f(grid, beta, ["thr", "only_best"])
+    per = entities.select("s1_idx").join(truth, "s1_idx", "left").join(got, "s1_idx", "left")
+    return macro_f(per.select(F.coalesce("n_true", F.lit(0)).alias("n_true"), F.inline(F.array(*cells))), beta, ["thr", "only_best"])

@@ -119,8 +119,11 @@ def stage2_context(df: DataFrame, p: str = "p1") -> DataFrame:
     return out.withColumn(f"{p}_best_other_s1", F.coalesce(F.when(s >= first, second).otherwise(first), F.lit(0.0)))
 
 
-def name_counts(s1: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables' ``idx, country_norm, name_tok`` with the number of Source 1 and of pool records of the same country and name."""
+def name_counts(s1: DataFrame, pool: DataFrame, all_s1: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables' ``idx, country_norm, name_tok`` with the number of Source 1 and of pool records of the same country and name.
+
+    Records of ``all_s1`` that are not in ``s1`` get the counts too, without being counted.
+    """
     key = ["country_norm", "name_norm"]
     c1 = s1.groupBy(*key).agg(F.count(F.lit(1)).alias("n_s1_same_name"))
     c2 = pool.groupBy(*key).agg(F.count(F.lit(1)).alias("n_pool_same_name"))
@@ -128,7 +131,7 @@ def name_counts(s1: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     def one(df: DataFrame) -> DataFrame:
         return df.select("idx", "name_tok", *key).join(c1, key, "left").join(c2, key, "left").select("idx", "country_norm", "name_tok", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("n_s1_same_name", "n_pool_same_name")])
 
-    return one(s1), one(pool)
+    return one(s1 if all_s1 is None else all_s1), one(pool)
 
 
 def token_idf(s1: DataFrame, pool: DataFrame) -> DataFrame:
@@ -148,9 +151,7 @@ def name_evidence(pairs: DataFrame, s1: DataFrame, pool: DataFrame, present: Dat
     Every record carries its own words' idf as a map, so pairs need no exploded join.
     """
     counted = s1 if present is None else s1.join(present.select("idx"), "idx", "left_semi")
-    n1, n2 = name_counts(counted, pool)
-    if present is not None:
-        n1 = name_counts(counted, pool)[0].unionByName(s1.join(present.select("idx"), "idx", "left_anti").select("idx", "country_norm", "name_tok", F.lit(0.0).alias("n_s1_same_name"), F.lit(0.0).alias("n_pool_same_name")))
+    n1, n2 = name_counts(counted, pool, s1)
     idf = token_idf(counted, pool)
 
     def with_map(df: DataFrame) -> DataFrame:
@@ -161,7 +162,11 @@ def name_evidence(pairs: DataFrame, s1: DataFrame, pool: DataFrame, present: Dat
     a = with_map(n1).select(F.col("idx").alias("s1_idx"), F.col("country_norm").alias("ca"), F.col("name_tok").alias("ta"), F.col("idfs").alias("ia"), F.col("n_s1_same_name").alias("n_s1_same_name_a"), F.col("n_pool_same_name").alias("n_pool_same_name_a"))
     b = with_map(n2).select(F.col("idx").alias("pool_idx"), F.col("country_norm").alias("cb"), F.col("name_tok").alias("tb"), F.col("idfs").alias("ib"), F.col("n_s1_same_name").alias("n_s1_same_name_b"), F.col("n_pool_same_name").alias("n_pool_same_name_b"))
     d = pairs.select("s1_idx", "pool_idx").join(a, "s1_idx").join(b, "pool_idx")
-    # Pool words take the Source 1 country's idf; candidates share the country, so the pool's own map holds it.
+    # Pool words take the idf of the Source 1 record's country. The pool record's own map holds it where both are of one
+    # country; the few pairs across countries look their words up there.
+    abroad = d.where(~F.col("ca").eqNullSafe(F.col("cb"))).select("s1_idx", "pool_idx", F.col("ca").alias("country_norm"), F.explode(F.array_except("tb", "ta")).alias("tok"))
+    foreign = abroad.join(idf, ["country_norm", "tok"], "left").groupBy("s1_idx", "pool_idx").agg(F.map_from_entries(F.collect_set(F.struct("tok", F.coalesce("idf", F.lit(unseen)).alias("idf")))).alias("_if"))
+    d = d.join(foreign, ["s1_idx", "pool_idx"], "left").withColumn("ib", F.when(F.col("ca").eqNullSafe(F.col("cb")), F.col("ib")).otherwise(F.col("_if")))
     d = d.withColumns({"sh": F.array_intersect("ta", "tb"), "ao": F.array_except("ta", "tb"), "bo": F.array_except("tb", "ta")})
     look = lambda c, m: F.transform(c, lambda t: F.coalesce(F.try_element_at(m, t), F.lit(unseen)))
     vals = {"shared": look("sh", F.col("ia")), "s1only": look("ao", F.col("ia")), "poolonly": look("bo", F.col("ib"))}

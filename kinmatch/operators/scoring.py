@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmatch.core.session import cut
 from kinmatch.operators import decision, pairs
 
 NOT_FEATURES = {"s1_idx", "pool_idx", "y", "fold"}
@@ -26,12 +27,15 @@ def _assembler(cols: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep")
 
 
-def fit(df: DataFrame, cols: list[str], rounds: int = 20, depth: int = 5, step: float = 0.1, valid_share: float = 0.05, seed: int = 42) -> GBTClassificationModel:
-    """A boosted-tree classifier of ``y``; a hashed share of entities is held out and ends the training early.
+def fit(df: DataFrame, cols: list[str], rounds: int = 600, depth: int = 5, step: float = 0.1, valid_share: float = 0.05, seed: int = 42) -> GBTClassificationModel:
+    """A boosted-tree classifier of ``y`` of up to ``rounds`` trees; a hashed share of entities is held out and ends the
+    training as soon as further trees do not help it.
 
     NULL features count as 0. Raises ValueError where the training rows have only one label.
     """
-    rows = df.na.fill(0.0, cols).withColumn("_valid", decision.bucket(F.col("s1_idx"), 3, 1000) < round(valid_share * 1000))
+    rows = df.select("s1_idx", "y", *cols).na.fill(0.0, cols).withColumn("_valid", decision.bucket(F.col("s1_idx"), 3, 1000) < round(valid_share * 1000))
+    # Written once: it is read for the labels, and by every tree.
+    rows = cut(rows)
     labels = rows.where("not _valid").agg(F.count_distinct("y").alias("n")).first()["n"]
     if labels < 2:
         raise ValueError("training needs both labels")
@@ -63,10 +67,9 @@ def labelled(df: DataFrame, pool: DataFrame, n_folds: int = 2, salt: int = 42) -
     return df.join(pool.select(F.col("idx").alias("pool_idx"), "gid"), "pool_idx").withColumns({"y": (F.col("gid") == F.col("s1_idx")).cast("tinyint"), "fold": decision.bucket(F.col("s1_idx"), salt, n_folds).cast("tinyint")}).drop("gid")
 
 
-def train_reranker(cands: DataFrame, s1: DataFrame, pool: DataFrame, rounds: int = 10) -> GBTClassificationModel:
-    """The small model of the second retrieval pass, from the entities with even numbers (the odd ones measure it)."""
-    f = labelled(pairs.rerank_features(cands, s1, pool), pool)
-    return fit(f.where(F.pmod("s1_idx", F.lit(2)) == 0), RERANK_FEATURES, rounds)
+def train_reranker(cands: DataFrame, s1: DataFrame, pool: DataFrame, rounds: int = 200) -> GBTClassificationModel:
+    """The small model of the second retrieval pass, from all given candidates (``pipeline.rerank_recall`` measures one on half of the entities)."""
+    return fit(labelled(pairs.rerank_features(cands, s1, pool), pool), RERANK_FEATURES, rounds)
 
 
 def rerank(cands: DataFrame, s1: DataFrame, pool: DataFrame, model: GBTClassificationModel, keep: int) -> DataFrame:
@@ -94,30 +97,33 @@ class CrossFit:
         return both.withColumn(name, (F.col("_p0") + F.col("_p1")) / 2).drop("_p0", "_p1")
 
 
-def cross_fit(df: DataFrame, cols: list[str], rounds: int = 20) -> CrossFit:
+def cross_fit(df: DataFrame, cols: list[str], rounds: int = 600) -> CrossFit:
     """One model per fold of ``df`` (``y``, ``fold`` 0 or 1)."""
     return CrossFit({k: fit(df.where(F.col("fold") == k), cols, rounds) for k in (0, 1)}, cols)
 
 
-def two_stage(features: DataFrame, prune: float = 0.01, rounds: int = 20) -> tuple[DataFrame, CrossFit, CrossFit]:
+def two_stage(features: DataFrame, prune: float = 0.01, rounds: int = 600, sample: float = 1.0, pool_context: bool = True) -> tuple[DataFrame, CrossFit, CrossFit]:
     """(scores ``s1_idx, pool_idx, p1, p2, y, fold``, stage 1, stage 2), all out of fold.
 
-    Stage 1 scores every pair; pairs from ``prune`` on get competition features and a second model.
+    Stage 1 is fitted on a hashed share of the entities and scores every pair; pairs from ``prune`` on get competition
+    features and a second model. Without ``pool_context`` it does not see who else competes for the pool record.
     """
-    first = cross_fit(features, feature_columns(features), rounds)
-    p1 = first.out_of_fold(features, "p1").where(F.col("p1") >= prune)
+    first = cross_fit(decision.subset(features, "s1_idx", sample, 1) if sample < 1 else features, feature_columns(features), rounds)
     kept = ["s1_idx", "pool_idx", "y", "fold", "p1", *[c for c in KEPT if c in features.columns]]
-    ctx = pairs.stage2_context(p1.select(*kept), "p1")
-    second = cross_fit(ctx, feature_columns(ctx), rounds)
+    p1 = cut(first.out_of_fold(features, "p1").where(F.col("p1") >= prune).select(*kept))
+    ctx = cut(pairs.stage2_context(p1, "p1"))
+    columns = feature_columns(ctx, () if pool_context else ("p1_rank_pool", "p1_gap_pool", "p1_sum_pool", "p1_n05_pool", "best_other"))
+    second = cross_fit(ctx, columns, rounds)
     return second.out_of_fold(ctx, "p2").select("s1_idx", "pool_idx", "p1", "p2", "y", "fold"), first, second
 
 
 # Raw features that the second stage keeps.
-KEPT = ("bscore", "n_keys", "name_ratio", "name_tset", "name_jw", "addr_ratio", "addr_tset", "jac_name_tok", "jac_addr_tok", "jac_addr_num", "len_addr_b", "src_b")
+KEPT = ("bscore", "b_rank_s1", "b_rank_pool", "name_tset", "name_ratio", "addr_tset", "addr_ratio", "jac_name_tok", "jac_addr_num", "deva_b", "src_b", "len_addr_b")
 
 
 def best_rule(scores: DataFrame, entities: DataFrame, pool: DataFrame, p: str = "p2") -> dict:
     """The decision rule of the highest macro F: thresholds 0.20 to 0.95 with and without exclusiveness, or expected F."""
+    # The thresholds, and the ``extra`` expected matches below.
     grid = [round(0.05 * i, 2) for i in range(4, 20)]
     best = decision.threshold_sweep(scores, entities, pool, grid, p).orderBy(F.desc("f05"), "thr", "only_best").first()
     rule = {"kind": "threshold", "thr": best["thr"], "only_best": best["only_best"], "f05": best["f05"]}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinmatch.core.session import cut, table
 from kinmatch.functions import text
 from kinmatch.functions.similarity import similarities
-from kinmatch.operators import blocking, decision, normalize, pairs, scoring
+from kinmatch.operators import blocking, decision, normalize, pairs, pipeline, scoring
 from kinmatch.sources import tables
 
 #: Document frequency cap of every key kind, and candidates per record, of the queries over the small tables. The whole job
@@ -237,28 +237,90 @@ def id_lists(spark: SparkSession, d: str) -> DataFrame:
     return tables.id_lists(decide_exclusive(spark, d), _s1(spark, d), table(spark, d, "train_pool"))
 
 
+def _similarity(spark: SparkSession, d: str, scorer: str) -> DataFrame:
+    j = pairs.attach(_cands(spark, d).select("s1_idx", "pool_idx"), _s1(spark, d), table(spark, d, "train_pool"), ["name_norm"]).where("name_norm_a <> '' and name_norm_b <> ''")
+    score = similarities({"score": (scorer, F.col("name_norm_a"), F.col("name_norm_b"))})
+    return _rounded(j.select("s1_idx", "pool_idx", score.alias("s")).select("s1_idx", "pool_idx", "s.score"))
+
+
+def sim_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Common subsequence ratio of the names of every candidate pair that has both."""
+    return _similarity(spark, d, "ratio")
+
+
+def sim_token_sort(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the words in sorted order."""
+    return _similarity(spark, d, "token_sort")
+
+
+def sim_token_set(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the word sets."""
+    return _similarity(spark, d, "token_set")
+
+
+def sim_partial(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the shorter name and the best stretch of the longer one."""
+    return _similarity(spark, d, "partial")
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """Source 1 records whose partners are known."""
+    labels = table(spark, d, "train_matches").select(F.col("source1_entity_id").alias("eid")).distinct()
+    return _s1(spark, d).join(labels, "eid", "left_semi").select(F.col("idx").alias("s1_idx"))
+
+
 def rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates scored again by a small trained model, the ten best of every record."""
+    """Candidates scored again by a small model of the labelled Source 1 records, the fifty best of every record."""
     s1, pool = _s1(spark, d), cut(_pool(spark, d))
     c = cut(_cands(spark, d).drop("p"))
-    model = scoring.train_reranker(c, s1, pool, rounds=5)
-    return scoring.rerank(c, s1, pool, model, 10)
+    model = scoring.train_reranker(c.join(_known(spark, d), "s1_idx", "left_semi"), s1, pool)
+    return scoring.rerank(c, s1, pool, model, tables.Settings().rerank_k)
+
+
+def rerank_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the labelled records' true pairs before and after reranking."""
+    return _rounded(pipeline.rerank_recall(cut(_cands(spark, d).drop("p")), _s1(spark, d), cut(_pool(spark, d)), _known(spark, d), [5, 10, 20, 50]))
+
+
+def _trained(spark: SparkSession, d: str) -> tuple[pipeline.Linker, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(linker, its out-of-fold scores, features of all candidates, Source 1, pool, labelled records); candidates as given, with ``rr``."""
+    s1, pool, known = _s1(spark, d), cut(_pool(spark, d)), cut(_known(spark, d))
+    given = table(spark, d, "candidates").where("bscore is not null and not isnan(bscore)")
+    c = given.groupBy("s1_idx", "pool_idx").agg(F.max("bscore").alias("bscore"), F.max("n_keys").alias("n_keys"), F.max("rr").alias("rr"))
+    features = cut(pipeline.feature_table(c, s1, pool))
+    linker, scores = pipeline.train(features.join(known, "s1_idx", "left_semi"), known, pool)
+    return linker, scores, features, s1, pool, known
 
 
 def pair_model(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold probabilities of both stages for the labelled Source 1 records' candidates."""
-    s1, pool = _s1(spark, d), cut(_pool(spark, d))
-    known = s1.join(table(spark, d, "train_matches").select(F.col("source1_entity_id").alias("eid")).distinct(), "eid", "left_semi").select(F.col("idx").alias("s1_idx"))
-    c = _cands(spark, d).drop("p").join(known, "s1_idx", "left_semi")
-    features = pairs.pair_features(c, s1, pool).join(pairs.group_features(c.select("s1_idx", "pool_idx", "bscore")).drop("bscore"), ["s1_idx", "pool_idx"])
-    return scoring.two_stage(cut(scoring.labelled(features, pool)), rounds=5)[0]
+    return _trained(spark, d)[1]
+
+
+def model_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Macro F 0.5 of both stages out of fold, by threshold, and of the stored stage-1 models where a hashed fifth of the records is absent."""
+    linker, scores, _, s1, pool, known = _trained(spark, d)
+    grid = [0.6, 0.7, 0.8, 0.9]
+    rows = [decision.threshold_sweep(scores, known, pool, grid, p).where("only_best").withColumn("stage", F.lit(p)) for p in ("p1", "p2")]
+    present = decision.subset(known, "s1_idx", 0.81)
+    c = table(spark, d, "candidates").where("bscore is not null and not isnan(bscore)").groupBy("s1_idx", "pool_idx").agg(F.max("bscore").alias("bscore"), F.max("n_keys").alias("n_keys"), F.max("rr").alias("rr"))
+    rows.append(pipeline.evaluate(linker.first, pipeline.feature_table(c, s1, pool, present), present, pool).withColumns({"only_best": F.lit(True), "stage": F.lit("p1 of present records")}))
+    return _rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]).drop("only_best"))
+
+
+def linkage_run(spark: SparkSession, d: str) -> DataFrame:
+    """Matches and candidates of every Source 1 record whose partners are not known, as lists of ids."""
+    linker, _, features, s1, pool, known = _trained(spark, d)
+    scored = cut(linker.candidates(features.join(known, "s1_idx", "left_anti")))
+    unknown = s1.join(known.select(F.col("s1_idx").alias("idx")), "idx", "left_anti")
+    return pipeline.result_lists(scored, linker.matches(scored), unknown, pool)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         candidates_topk, source_records, clean_text, tokenize, normalize_s1, normalize_pool, abbrev_expand, name_deva_flag, numeric_tokens, block_keys, key_df_idf, key_df_idf_whole, candidates_whole, candidate_context, token_jaccard,
-        name_ambiguity, token_idf, name_evidence, leftover_similarity, sim_jaro_winkler, pair_features, stage2_context, decide_threshold, decide_exclusive, expected_f, macro_f05, blocking_report,
-        recall_at_k, threshold_sweep, label_join, semi_truth, hash_fold, absent_entities, translit_learn, translit_apply, id_lists, rerank, pair_model,
+        name_ambiguity, token_idf, name_evidence, leftover_similarity, sim_jaro_winkler, sim_ratio, sim_token_sort, sim_token_set, sim_partial, pair_features, stage2_context, decide_threshold, decide_exclusive, expected_f, macro_f05, blocking_report,
+        recall_at_k, threshold_sweep, label_join, semi_truth, hash_fold, absent_entities, translit_learn, translit_apply, id_lists, rerank, rerank_recall, pair_model, model_quality, linkage_run,
     )
 }

@@ -129,7 +129,7 @@ SQL = {
         parts AS (
             SELECT s1_idx, pool_idx, ca AS land, 'sh' AS part, unnest(list_intersect(ta, tb)) AS tok FROM x
             UNION ALL SELECT s1_idx, pool_idx, ca, 'ao', unnest({_EXCEPT.format(a='ta', b='tb')}) FROM x
-            UNION ALL SELECT s1_idx, pool_idx, cb, 'bo', unnest({_EXCEPT.format(a='tb', b='ta')}) FROM x),
+            UNION ALL SELECT s1_idx, pool_idx, ca, 'bo', unnest({_EXCEPT.format(a='tb', b='ta')}) FROM x),
         sums AS (SELECT s1_idx, pool_idx, part, SUM(COALESCE(w, ln(1000000))) AS s, MAX(COALESCE(w, ln(1000000))) AS m
                  FROM parts LEFT JOIN idf ON idf.country_norm = land AND idf.tok = parts.tok GROUP BY ALL),
         wide AS (SELECT s1_idx, pool_idx,
@@ -217,3 +217,45 @@ SQL |= {
     "key_df_idf_whole": SQL["key_df_idf"].replace("HAVING COUNT(*) <= 50)", "HAVING COUNT(*) <= 500)"),
     "candidates_whole": SQL["candidates_topk"].replace("HAVING COUNT(*) <= 50)", "HAVING COUNT(*) <= 500)").replace("WHERE r <= 20", "WHERE r <= 300"),
 }
+
+
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two strings of up to 120 letters, by the bit-parallel recurrence."""
+    full = f"((1::HUGEINT << length({a})::INTEGER) - 1)"
+    mask = f"list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] = ch THEN 1::HUGEINT << (i - 1)::INTEGER ELSE 0::HUGEINT END))::HUGEINT"
+    last = f"list_reduce(list_transform(string_split({b}, ''), lambda ch: {mask}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full}, {full})"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE bit_count(xor({full}, {last})) END"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"200.0 * ({_lcs(a, b)}) / (length({a}) + length({b}))"
+
+
+def _windows(a: str, b: str) -> str:
+    """Best ratio of a against the stretches of b of its length and the shorter ones at both ends; a is the shorter."""
+    window = f"substring({b}, greatest(s, 1), least(s + length({a}) - 1, length({b})) - greatest(s, 1) + 1)"
+    return f"list_max(list_transform(list_transform(range(2 - length({a}), length({b}) + 1), lambda s: {window}), lambda w: {_ratio(a, 'w')}))"
+
+
+_NAMES = f"""{_CANDS}, t AS (SELECT c.s1_idx, c.pool_idx, a.name_norm AS a, b.name_norm AS b FROM cands c JOIN train_s1 a ON a.idx = c.s1_idx JOIN train_pool b ON b.idx = c.pool_idx
+    WHERE a.name_norm <> '' AND b.name_norm <> '')"""
+_SORTED = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
+SQL |= {
+    "sim_ratio": f"WITH {_NAMES} SELECT s1_idx, pool_idx, round({_ratio('a', 'b')}, 6) AS score FROM t",
+    "sim_token_sort": f"WITH {_NAMES}, u AS (SELECT s1_idx, pool_idx, {_SORTED.format('a')} AS a, {_SORTED.format('b')} AS b FROM t) SELECT s1_idx, pool_idx, round({_ratio('a', 'b')}, 6) AS score FROM u",
+    "sim_token_set": f"""
+        WITH {_NAMES}, u AS (SELECT s1_idx, pool_idx, list_distinct(string_split(a, ' ')) AS a, list_distinct(string_split(b, ' ')) AS b FROM t),
+        w AS (SELECT s1_idx, pool_idx, array_to_string(list_sort(list_intersect(a, b)), ' ') AS c,
+                     array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ' ') AS x, array_to_string(list_sort(list_filter(b, lambda y: NOT list_contains(a, y))), ' ') AS y FROM u),
+        l AS (SELECT *, length(c) AS n, length(x) AS p, length(y) AS q, {_lcs('x', 'y')} AS k FROM w)
+        SELECT s1_idx, pool_idx, round(CASE WHEN n = 0 THEN 200.0 * k / (p + q) WHEN p = 0 OR q = 0 THEN 100.0
+            ELSE GREATEST(200.0 * (n + 1 + k) / (2 * n + 2 + p + q), 200.0 * n / (2 * n + 1 + p), 200.0 * n / (2 * n + 1 + q)) END, 6) AS score FROM l""",
+    "sim_partial": f"""
+        WITH {_NAMES}, u AS (SELECT s1_idx, pool_idx, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS a, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS b FROM t)
+        SELECT s1_idx, pool_idx, round(CASE WHEN contains(b, a) THEN 100.0 WHEN length(a) = length(b) THEN GREATEST({_windows('a', 'b')}, {_windows('b', 'a')}) ELSE {_windows('a', 'b')} END, 6) AS score FROM u""",
+    "leftover_similarity": f"""
+        WITH {_CANDS}, t AS (SELECT c.s1_idx, c.pool_idx, a.name_tok AS p, b.name_tok AS q FROM cands c JOIN train_s1 a ON a.idx = c.s1_idx JOIN train_pool b ON b.idx = c.pool_idx),
+        u AS (SELECT s1_idx, pool_idx, array_to_string(list_filter(p, lambda x, i: NOT list_contains(q, x) AND list_position(p, x) = i), ' ') AS a,
+                     array_to_string(list_filter(q, lambda y, j: NOT list_contains(p, y) AND list_position(q, y) = j), ' ') AS b FROM t)
+        SELECT s1_idx, pool_idx, round(CASE WHEN a = '' AND b = '' THEN 100.0 ELSE {_ratio('a', 'b')} END, 6) AS leftover_ratio FROM u""",
+}

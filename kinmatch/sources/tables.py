@@ -92,12 +92,15 @@ def check_id_lists(lists: DataFrame, s1: DataFrame) -> None:
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at ``path``, made and written first unless it is there."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:
+    """The table at ``path``, made and written first unless it is there.
+
+    A table counts as there once it was written whole (its mark of success exists); a reading error is raised and
+    destroys nothing.
+    """
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
         make().write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def save_json(value: object, path: str) -> None:
@@ -123,8 +126,22 @@ class Settings:
 
     @classmethod
     def load(cls, path: str) -> Settings:
-        """Settings from a JSON file; the work folder is made."""
-        raw = json.loads(Path(path).read_text(encoding="utf-8"))
+        """Settings from a JSON or YAML file (YAML needs its parser installed); the work folder is made.
+
+        Besides this class's own fields, ``blocking`` and ``validation`` sections are understood: one ``max_df`` for all kinds
+        of keys, ``top_k``, ``rerank_k``, ``n_folds``.
+        """
+        text = Path(path).read_text(encoding="utf-8")
+        if Path(path).suffix in (".yaml", ".yml"):
+            import yaml
+
+            raw = yaml.safe_load(text)
+        else:
+            raw = json.loads(text)
+        raw |= {k: v for section in ("blocking", "validation") for k, v in (raw.pop(section, None) or {}).items() if k in ("max_df", "top_k", "rerank_k", "n_folds")}
+        if isinstance(raw.get("max_df"), int):
+            raw["max_df"] = dict.fromkeys(("n1", "a1", "nn", "ab"), raw["max_df"])
+        raw["paths"] = {k.removesuffix("_dir"): v for k, v in raw.get("paths", {}).items()}
         base = Path(path).resolve().parent
         raw["paths"] = {k: str((base / v).resolve()) for k, v in raw.get("paths", {}).items()}
         if "work" in raw["paths"]:
