@@ -64,8 +64,46 @@ def test_blocks_give_the_same(spark, monkeypatch):
     its = items()
     d = spark.createDataFrame([(i, t) for i, t in its], "doc_id long, text string")
     t = spark.createDataFrame(its, "item_id long, text string")
+    opening = spark.createDataFrame([(100, " ".join(its[0][1].split()[:30])), (101, its[0][1].split(".")[0])], "doc_id long, text string")
+    d = d.unionByName(opening)
     one = {tuple(r) for r in leaks.find_leaks(d, "doc_id", "text", t, "item_id", "text").collect()}
-    assert one == {(i, i) for i, _ in its}
+    assert one == {(i, i) for i, _ in its} | {(100, 0)}
+    monkeypatch.setattr(leaks, "BLOCK", 1)
+    assert {tuple(r) for r in leaks.find_leaks(d, "doc_id", "text", t, "item_id", "text").collect()} == one
+
+
+def ready(rows):
+    return leaks.Items([(i, leaks.normal(t).split(), [], []) for i, t in rows])
+
+
+def test_every_passage_within_the_budget_is_found():
+    rng = random.Random(9)
+    for size in (3, 4, 6, 9, 12, 15, 30, 60, 150):
+        words = [f"{rng.choice(WORDS)}" for _ in range(size)]
+        search = leaks.Search(ready([(1, " ".join(words))]))
+        need = -(-size // 3)
+        for _ in range(60):
+            lo = rng.randrange(size - need + 1)
+            part = words[lo : lo + need]
+            for _ in range(int(leaks.ERROR_RATE * need)):
+                at = rng.randrange(len(part))
+                part[at : at + 1] = rng.choice(([], ["zz"], [part[at], "zz"]))
+            text = [f"q{rng.randrange(50)}" for _ in range(30)]
+            text[15:15] = part
+            if leaks.myers(words[lo : lo + need], text)[0] <= int(leaks.ERROR_RATE * need):
+                assert [i for i, _ in search(leaks.normal(" ".join(text)))] == [1], (size, part)
+
+
+def test_notices_and_whole_copies(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "NOTICE_LEAST", 5)
+    rng = random.Random(4)
+    its = items(3, 60, 8)
+    notice = " ".join(rng.choice(WORDS) for _ in range(30))
+    its.append((50, notice + " " + " ".join(f"n{i}" for i in range(30))))
+    its.append((51, its[0][1]))  # the same text under another id
+    docs = [(k, f"d{k} " * 20 + notice) for k in range(20)] + [(99, its[-2][1]), (98, its[0][1])]
+    got = {tuple(r) for r in leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(its, "item_id long, text string"), "item_id", "text").collect()}
+    assert got == {(99, 50), (98, 0), (98, 51)}
 
 
 def test_dense_windows_lose_nothing():
