@@ -18,6 +18,9 @@ _FIRST = frozenset({"rue", "place", "chemin", "impasse", "quai", "cours", "route
 _BOTH = frozenset({"avenue", "boulevard"})  # before the name in French addresses
 _PARTICLES = frozenset({"de", "du", "des", "la", "le", "les", "d", "l"})
 _DIRECTIONS = {"n": "north", "s": "south", "e": "east", "w": "west", "north": "north", "south": "south", "east": "east", "west": "west", "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest"}
+# Kinds that are written in one word with the name, with their short forms.
+_FUSED = {"strasse": "strasse", "str": "strasse", "gasse": "gasse", "platz": "platz", "weg": "weg", "allee": "allee", "straat": "straat", "laan": "laan", "gatan": "gatan", "vagen": "vagen"}
+_FUSED_WORD = re.compile(f"([a-z'-]{{3,}}?)-?({'|'.join(_FUSED)})")
 _ADVERBS = {"main": "main", "cross": "cross", "x": "cross"}
 # Words before or behind a number that is not the house's.
 _UNITS = frozenset("unit office off flat suite ste apt apartment room rm shop batiment bat etage esc escalier floor flr fl appt appartement bldg building lot".split())
@@ -39,9 +42,12 @@ class Address:
     number: str = ""
     street: str = ""
     kind: str = ""
+    towards: str = ""
     post: str = ""
     places: list[str] = field(default_factory=list)
     hints: list[str] = field(default_factory=list)
+    #: Street names that the words before (or behind) the kind may mean, longest first, where nothing marks the border.
+    readings: list[str] = field(default_factory=list)
 
 
 def ordinary(text: str) -> str:
@@ -57,7 +63,7 @@ def ordinary(text: str) -> str:
                 w = forms[0] if forms else w
             out.append(w)
         base = "".join(out)
-    folded = unicodedata.normalize("NFKD", base.lower())
+    folded = unicodedata.normalize("NFKD", base.lower().replace("ß", "ss"))
     return "".join(c for c in folded if not unicodedata.combining(c))
 
 
@@ -144,7 +150,7 @@ def _without_units(toks: list[tuple[str, int]], a: Address, country: str) -> lis
             j = i
             while j < n and (toks[j][0] in _HOUSE or toks[j][0] == "#"):
                 j += 1
-            if j < n and toks[j][0].isdigit() and len(toks[j][0]) <= 4 and (j - i > 1 or t in ("no", "house", "door", "plot")):
+            if j < n and _house(toks[j][0]) and len(toks[j][0]) < 5 and (j - i > 1 or t in ("no", "house", "door", "plot")):
                 a.number = a.number or toks[j][0]
                 i = j + 1
                 continue
@@ -168,50 +174,89 @@ def _without_units(toks: list[tuple[str, int]], a: Address, country: str) -> lis
     return out
 
 
+@dataclass
+class _Street:
+    """A reading of the tokens ``begin`` to ``end`` as a street; of its words, ``sure`` ones belong to it in any case."""
+
+    rank: int
+    begin: int
+    end: int
+    words: list[str]
+    kind: str
+    leading: bool
+    sure: bool
+
+
+def _street_at(toks: list[tuple[str, int]], i: int, country: str) -> _Street | None:
+    """The street whose kind stands at place ``i``: all words of its name, in the same piece of the address."""
+    t, k = toks[i]
+    n = len(toks)
+    word = lambda j: 0 <= j < n and toks[j][1] == k and toks[j][0][0].isalpha() and toks[j][0] not in _KIND
+    kind = _KIND.get(t)
+    if not kind:
+        fused = _FUSED_WORD.fullmatch(t)
+        beside = [j for j in (i - 1, i + 1) if 0 <= j < n and toks[j][1] == k and _house(toks[j][0])]
+        return _Street(3, i, i + 1, [fused[1]], _FUSED[fused[2]], False, True) if fused and beside else None
+    leading = kind in _FIRST or (kind in _BOTH and (country == "france" or (i + 1 < n and toks[i + 1][0] in _PARTICLES) or not word(i - 1)))
+    if leading:
+        j = i + 1
+        while j < n and toks[j][0] in _PARTICLES and toks[j][1] == k:
+            j += 1
+        words = []
+        while word(j):
+            words.append(re.sub("^(?:d|l)'", "", toks[j][0]))
+            j += 1
+        marked = j < n and not toks[j][0][0].isalpha()
+        return _Street(0 if len(t) > 2 or country == "france" else 2, i, j, words, kind, True, marked or len(words) == 1) if words else None
+    j = i - 1
+    adverb = ""
+    if j >= 0 and toks[j][1] == k and toks[j][0] in _ADVERBS:
+        adverb = _ADVERBS[toks[j][0]] + " "
+        j -= 1
+    words = []
+    while word(j) and toks[j][0] not in _DIRECTIONS:
+        words.insert(0, toks[j][0])
+        j -= 1
+    # A number before the name marks its border, unless the house number stands behind: then it may be a postal code before a town.
+    behind = i + 1 < n and toks[i + 1][1] == k and _house(toks[i + 1][0])
+    marked = j >= 0 and toks[j][1] == k and (toks[j][0] in _DIRECTIONS or (not toks[j][0][0].isalpha() and not behind))
+    return _Street(1, j + 1, i + 1, words, adverb + kind, False, marked or len(words) == 1) if words else None
+
+
 def _find_street(toks: list[tuple[str, int]], a: Address, country: str) -> None:
     n = len(toks)
-    best: tuple[int, int, int, str, str] | None = None  # (rank, begin, end, name, kind)
-    for i, (t, k) in enumerate(toks):
-        kind = _KIND.get(t)
-        if not kind:
-            continue
-        named = i > 0 and toks[i - 1][1] == k and toks[i - 1][0][0].isalpha()
-        french = kind in _FIRST or (kind in _BOTH and (country == "france" or (i + 1 < n and toks[i + 1][0] in _PARTICLES) or not named))
-        if french:
-            j = i + 1
-            while j < n and toks[j][0] in _PARTICLES and toks[j][1] == k:
-                j += 1
-            if j < n and toks[j][1] == k and toks[j][0][0].isalpha() and toks[j][0] not in _KIND:
-                rank = 0 if len(t) > 2 or country == "france" else 2
-                if best is None or rank < best[0]:
-                    best = (rank, i, j + 1, re.sub("^(?:d|l)'", "", toks[j][0]), kind)
-            continue
-        j = i - 1
-        adverb = ""
-        if j >= 0 and toks[j][1] == k and toks[j][0] in _ADVERBS:
-            adverb = _ADVERBS[toks[j][0]] + " "
-            j -= 1
-        if j >= 0 and toks[j][1] == k and toks[j][0][0].isalpha() and toks[j][0] not in _DIRECTIONS and toks[j][0] not in _KIND:
-            rank = 1
-            if best is None or rank < best[0]:
-                best = (rank, j, i + 1, toks[j][0], adverb + kind)
+    streets = [s for i in range(n) if (s := _street_at(toks, i, country))]
     used: set[int] = set()
-    if best:
-        _, lo, hi, a.street, a.kind = best
-        used |= set(range(lo, hi))
+    if streets:
+        best = min(streets, key=lambda s: s.rank)
+        lo, hi, a.kind = best.begin, best.end, best.kind
+        a.street = " ".join(best.words)
+        if not best.sure:
+            a.readings = [" ".join(best.words[:-j] if best.leading else best.words[j:]) if j else a.street for j in range(len(best.words))]
+        # Words that may not be the street's stay open for places.
+        spare = 0 if best.sure else len(best.words) - 1
+        used |= set(range(lo, hi - spare) if best.leading else range(lo + spare, hi))
+        towards = ""
         if lo and toks[lo - 1][0] in _DIRECTIONS and toks[lo - 1][1] == toks[lo][1]:
             lo -= 1
+            towards = toks[lo][0]
             used.add(lo)
-        if hi < n and toks[hi][0] in _DIRECTIONS and toks[hi][1] == toks[hi - 1][1] and country in ("us", ""):
+        elif hi < n and toks[hi][0] in _DIRECTIONS and toks[hi][1] == toks[hi - 1][1] and country in ("us", "") and (hi + 1 == n or toks[hi + 1][1] != toks[hi][1] or _house(toks[hi + 1][0])):
+            towards = toks[hi][0]
             used.add(hi)  # "Mobonu Ct E 340"
             hi += 1
+        if towards:
+            a.towards = _DIRECTIONS[towards]
         if not a.number:
             before = lo - 1 if lo and _house(toks[lo - 1][0]) else None
             after = hi if hi < n and _house(toks[hi][0]) else None
             seg = toks[hi - 1][1]
-            # In the same piece of the address first; behind the name where the country writes it there.
+            # In the same piece of the address first; plain short numbers before long ones and ones with a letter; behind the
+            # name where the country writes it there.
             options = [x for x in (before, after) if x is not None]
-            options.sort(key=lambda x: (toks[x][1] != seg, x == before and best[4] in ("street", "avenue", "square", "quay") and country not in ("us", "india", "france") and after is not None))
+            options = [x for x in options if len(toks[x][0]) < 5] or [x for x in options if _other_code(toks, x)]
+            behind = best.kind in ("street", "avenue", "square", "quay") and country not in ("us", "india", "france") and after is not None
+            options.sort(key=lambda x: (toks[x][1] != seg, len(toks[x][0]) > 4 or not toks[x][0].isdigit(), x == before and behind))
             if options:
                 x = options[0]
                 # A split postal code ("117 290") is no house number.
@@ -226,7 +271,14 @@ def _find_street(toks: list[tuple[str, int]], a: Address, country: str) -> None:
 
 
 def _house(t: str) -> bool:
-    return t.isdigit() and len(t) <= 4
+    """Digits, maybe with a letter behind; five and six of them only where another number can be the postal code."""
+    digits = t[:-1] if t[-1].isalpha() else t
+    return digits.isdigit() and len(digits) <= (6 if digits == t else 4)
+
+
+def _other_code(toks: list[tuple[str, int]], at: int) -> bool:
+    """Whether the address has a postal code besides the number at place ``at``."""
+    return any(t != toks[at][0] and (t.isdigit() and len(t) >= 5 or "-" in t and t[0].isdigit()) for t, _ in toks)
 
 
 def _three(tk: tuple[str, int]) -> bool:

@@ -21,7 +21,7 @@ BEAM = 4
 
 _ADDRESS = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("country", "number", "street", "kind", "post")]
-    + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("places", "hints")]
+    + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("places", "hints", "readings")]
 )
 
 
@@ -31,6 +31,8 @@ def parse_addresses(text: pa.Array, country: pa.Array) -> pa.Array:
     spelt: dict[str | None, str] = {}
     lands = [spelt[c] if c in spelt else spelt.setdefault(c, addresses.country_of(c)) for c in country.to_pylist()]
     rows = [addresses.parse(t, c) for t, c in zip(text.to_pylist(), lands)]
+    for r in rows:  # a direction tells streets apart as the kind does
+        r.kind = f"{r.towards} {r.kind}".lstrip()
     columns = [pa.array(lands, pa.string())]
     columns += [pa.array([getattr(r, f.name) for r in rows], to_arrow_type(f.dataType)) for f in _ADDRESS.fields[1:]]
     return pa.StructArray.from_arrays(columns, _ADDRESS.names)
@@ -74,6 +76,21 @@ def localities(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return width, words.unionByName(anywhere.select(F.lit("").alias("country"), "place", F.concat_ws("|", "b.country", "b.loc").alias("loc"), "n"))
 
 
+def settle_readings(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with one street name an address. Where nothing marks how many words a name has, the addresses themselves
+    decide: the longest reading that two of them and half as many as its shortest one have stands, else the shortest."""
+    if parsed.where(F.size("readings") > 1).isEmpty():
+        return parsed.drop("readings")
+    said = F.when(F.size("readings") > 1, F.col("readings")).otherwise(F.array("street"))
+    n = parsed.where("street <> ''").select("country", "kind", F.explode(said).alias("street")).groupBy("country", "kind", "street").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parsed.where(F.size("readings") > 1).select("id", "country", "kind", F.posexplode("readings").alias("at", "street"))
+    by_id = Window.partitionBy("id")
+    judged = open_.join(n, ["country", "kind", "street"]).withColumn("least", F.max(F.struct("at", "n")).over(by_id))
+    good = (F.col("n") >= 2) & (2 * F.col("n") >= F.col("least.n")) | (F.col("at") == F.col("least.at"))
+    chosen = judged.where(good).groupBy("id").agg(F.min(F.struct("at", "street")).alias("_r")).select("id", F.col("_r.street").alias("_street"))
+    return parsed.drop("readings").join(chosen, "id", "left").withColumn("street", F.coalesce("_street", "street")).drop("_street")
+
+
 def locate(parsed: DataFrame, width: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``parsed`` (with ``id``) plus ``loc``, the locality, "" where nothing tells it; NULL countries filled in from the place;
     ``id, country, loc, s, r``: the proposals of addresses that have several).
@@ -106,6 +123,10 @@ def _spelt(*at: str) -> Column:
     return F.explode(F.transform(without_one(F.col("street")), lambda x: F.xxhash64(*at, "kind", x)))
 
 
+def _towards(kind: str) -> Column:
+    return F.regexp_extract(kind, "^(north|south|east|west|northeast|northwest|southeast|southwest) ", 1)
+
+
 def choose(located: DataFrame, rivals: DataFrame, entries: DataFrame) -> DataFrame:
     """``id, country, loc, street_id`` of addresses for which another proposal than the first fits its street better.
 
@@ -159,6 +180,8 @@ def street_entries(located: DataFrame) -> DataFrame:
     numbers = F.arrays_overlap("numbers_a", "numbers_b")
     codes_differ = (F.size("posts_a") > 0) & (F.size("posts_b") > 0) & ~posts
     same_kind = F.col("kind_a") == F.col("kind_b")
+    # North and south of one name are two streets.
+    met = met.where(_towards("kind_a") == _towards("kind_b"))
     ok = F.when(posts, (grade <= 2) & (same_kind | (grade == 0))).when(codes_differ, F.lit(False)).when(hints, (grade <= 2) & same_kind).when(numbers, (grade <= 1) & same_kind).otherwise((grade <= 1) & same_kind & (F.col("n_a") <= 2) & (F.col("n_b") >= 3 * F.col("n_a")))
     score = F.when(posts, F.lit(4.0)).otherwise(F.lit(0.0)) + F.when(hints, F.lit(2.0)).otherwise(F.lit(0.0)) + F.when(numbers, F.lit(2.0)).otherwise(F.lit(0.0)) - grade - F.when(same_kind, F.lit(0.0)).otherwise(F.lit(1.0))
     cand = met.where(ok).select("e_a", "e_b", "n_b", score.alias("s"))
@@ -184,6 +207,7 @@ def resolve(records: DataFrame, row_id: str, address: str, country: str) -> Data
 
 def resolve_parsed(parsed: DataFrame) -> DataFrame:
     """``resolve`` of addresses that are taken apart already, one row an id."""
+    parsed = settle_readings(parsed)
     width, words = map(cut, localities(parsed))
     located, rivals = locate(parsed, width, words)
     located = cut(located)
