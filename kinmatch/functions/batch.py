@@ -9,7 +9,7 @@ from kinmatch.functions import similarity
 #: Strings above this length are scored one pair at a time, so that tables of letters stay small.
 LONGEST = 512
 #: Pairs, or windows of pairs, that are worked on together.
-CHUNK = 4_096
+CHUNK = 1_024
 #: Windows of a sliding comparison that are looked at before those between them.
 STRIDE = 4
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -23,7 +23,16 @@ def attach(pairs: DataFrame, s1: DataFrame, pool: DataFrame, columns: list[str]
     """``pairs`` with the columns of both records, suffixed ``_a`` (Source 1) and ``_b`` (pool)."""
     a = s1.select(F.col("idx").alias("s1_idx"), *[F.col(c).alias(f"{c}_a") for c in columns or s1.columns if c != "idx"])
     b = pool.select(F.col("idx").alias("pool_idx"), *[F.col(c).alias(f"{c}_b") for c in columns or pool.columns if c != "idx"])
-    return pairs.join(a, "s1_idx").join(b, "pool_idx")
+    return pairs.join(b, "pool_idx").join(a, "s1_idx")
+
+
+def spread(pairs: DataFrame) -> DataFrame:
+    """``pairs`` over all shuffle partitions, for work that costs far more than its bytes tell.
+
+    Adaptive execution sizes partitions by bytes, so a few MB of pairs would be scored by a core or two. Only the narrow pairs are
+    moved, and by the key of the join with the larger table.
+    """
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pool_idx")
 
 
 def jaccard(a: Column, b: Column) -> tuple[Column, Column]:
@@ -60,7 +69,7 @@ def pair_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame
 
     Two equi-joins and one trip to Python for all similarities of a pair. NULL texts count as empty.
     """
-    joined = attach(pairs, side(s1), side(pool))
+    joined = attach(spread(pairs), side(s1), side(pool))
     sims = similarities({k: (s, F.col(f"{c}_a"), F.col(f"{c}_b")) for k, (s, c) in SIMILARITIES.items()})
     wide = joined.select("s1_idx", "pool_idx", F.col("bscore").cast("double").alias("bscore"), F.col("n_keys").cast("double").alias("n_keys"), *[v.alias(k) for k, v in set_features(joined).items()], sims.alias("_s"))
     return wide.select(*[c for c in wide.columns if c != "_s"], "_s.*")
@@ -68,7 +77,7 @@ def pair_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame
 
 def rerank_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
     """``pairs`` with the reranker's columns: rank by bscore, four similarities, and whether the pool address is empty."""
-    joined = attach(pairs, s1, pool, ["name_norm", "addr_norm"])
+    joined = attach(spread(pairs), s1, pool, ["name_norm", "addr_norm"])
     col = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
     sims = similarities({"name_ratio": ("ratio", *col("name_norm")), "name_tset": ("token_set", *col("name_norm")), "addr_tset": ("token_set", *col("addr_norm")), "addr_ratio": ("ratio", *col("addr_norm"))})
     rank = F.row_number().over(Window.partitionBy("s1_idx").orderBy(F.desc("bscore"), "pool_idx"))
@@ -161,7 +170,7 @@ def name_evidence(pairs: DataFrame, s1: DataFrame, pool: DataFrame, present: Dat
 
     a = with_map(n1).select(F.col("idx").alias("s1_idx"), F.col("country_norm").alias("ca"), F.col("name_tok").alias("ta"), F.col("idfs").alias("ia"), F.col("n_s1_same_name").alias("n_s1_same_name_a"), F.col("n_pool_same_name").alias("n_pool_same_name_a"))
     b = with_map(n2).select(F.col("idx").alias("pool_idx"), F.col("country_norm").alias("cb"), F.col("name_tok").alias("tb"), F.col("idfs").alias("ib"), F.col("n_s1_same_name").alias("n_s1_same_name_b"), F.col("n_pool_same_name").alias("n_pool_same_name_b"))
-    d = pairs.select("s1_idx", "pool_idx").join(a, "s1_idx").join(b, "pool_idx")
+    d = spread(pairs.select("s1_idx", "pool_idx")).join(b, "pool_idx").join(a, "s1_idx")
     # Pool words take the idf of the Source 1 record's country. The pool record's own map holds it where both are of one
     # country; the few pairs across countries look their words up there.
     abroad = d.where(~F.col("ca").eqNullSafe(F.col("cb"))).select("s1_idx", "pool_idx", F.col("ca").alias("country_norm"), F.explode(F.array_except("tb", "ta")).alias("tok"))
