@@ -64,6 +64,13 @@ SIMILARITIES = {
 }
 
 
+#: Columns of ``pair_features`` beside the keys.
+PAIR_FEATURES = [
+    "bscore", "n_keys", *[f"{k}_{c}" for c in ("name_tok", "addr_tok", "addr_num") for k in ("jac", "ncommon")], "first_tok_eq", *[f"len_{f}_{s}" for f in ("name", "addr") for s in ("a", "b")],
+    "nnum_a", "nnum_b", "num_a_subset_b", "deva_b", "src_b", *SIMILARITIES,
+]
+
+
 def pair_features(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
     """``s1_idx, pool_idx`` and 29 features: bscore, n_keys, 16 from sets and lengths, 11 similarities.
 

@@ -14,22 +14,28 @@ from kinmatch.sources.tables import Settings, id_lists
 KEYS = ["s1_idx", "pool_idx"]
 
 
-def feature_table(cands: DataFrame, s1: DataFrame, pool: DataFrame, present: DataFrame | None = None) -> DataFrame:
+def feature_table(cands: DataFrame, s1: DataFrame, pool: DataFrame, present: DataFrame | None = None, of: DataFrame | None = None, made: DataFrame | None = None) -> DataFrame:
     """``s1_idx, pool_idx`` and the stage-1 features of every candidate: 29 of the pair, 5 of its bscore among its rivals, 12 of
     name evidence, and, where the candidates have ``rr``, that score and 5 of its place among its rivals: 52 in all.
 
     ``present`` (``s1_idx``) names the Source 1 records that are taken to exist: candidates of others are left out before
     rivals and name counts are made, so their pool records become records without a partner. Columns ``rr`` and ``gid``
     are optional. NULL scores stay NULL.
+
+    ``of`` (``s1_idx``) names the Source 1 records whose rows are wanted: the others count as rivals, but get no features.
+    ``made``: an earlier table with the rows wanted, for the features that depend on nothing but the pair.
     """
     c = cands if present is None else cands.join(present.select("s1_idx"), "s1_idx", "left_semi")
     reranked = "rr" in c.columns
     c = c.select(*KEYS, "bscore", "n_keys", *(["rr"] if reranked else []))
     context = pairs.group_features(c, "bscore", "b")
     context = pairs.group_features(context, "rr", "r") if reranked else context
+    if of is not None:
+        c, context = (df.join(of.select("s1_idx"), "s1_idx", "left_semi") for df in (c, context))
     around = context.drop("bscore", "n_keys")
     evidence = pairs.name_evidence(c, s1, pool, None if present is None else present.select(F.col("s1_idx").alias("idx")))
-    return pairs.pair_features(c, s1, pool).join(around, KEYS).join(evidence, KEYS)
+    own = pairs.pair_features(c, s1, pool) if made is None else made.select(*KEYS, *pairs.PAIR_FEATURES)
+    return own.join(around, KEYS).join(evidence, KEYS)
 
 
 def reranked_candidates(s1: DataFrame, pool: DataFrame, settings: Settings, training: DataFrame | None = None, rounds: int = 200) -> DataFrame:

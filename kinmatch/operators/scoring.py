@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import secrets
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinmatch.core.session import cut
-from kinmatch.operators import decision, pairs
+from kinmatch.core.session import cut, release
+from kinmatch.operators import boosting, decision, pairs
+from kinmatch.operators.boosting import Trees
 
 NOT_FEATURES = {"s1_idx", "pool_idx", "y", "fold"}
 RERANK_FEATURES = ["bscore", "n_keys", "rk", "name_ratio", "name_tset", "addr_tset", "addr_ratio", "addr_empty"]
@@ -23,43 +23,67 @@ def feature_columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[str]:
     return [c for c in df.columns if c not in NOT_FEATURES and not any(w in c for w in without)]
 
 
-def _assembler(cols: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep")
-
-
-def fit(df: DataFrame, cols: list[str], rounds: int = 600, depth: int = 5, step: float = 0.1, valid_share: float = 0.05, seed: int = 42) -> GBTClassificationModel:
+def fit_each(parts: list[DataFrame], cols: list[str], rounds: int = 600, depth: int = 5, step: float = 0.1, valid_share: float = 0.05, seed: int = 42) -> list[Trees]:
+    """``fit`` of every table, all at the same time."""
+    ready, cores = [], boosting.slots(parts[0].sparkSession)
+    for df in parts:
+        key = F.xxhash64("s1_idx", "pool_idx") if "pool_idx" in df.columns else F.xxhash64("s1_idx", *cols)
+        valid = decision.bucket(F.col("s1_idx"), 3, 1000) < round(valid_share * 1000)
+        rows = df.na.fill(0.0, cols).select(*[F.col(c).cast("double").alias(c) for c in cols], F.col("y").cast("double").alias("_y"), valid.alias("_valid"), key.alias("_key"))
+        # Written once: it is read for the bins, and for the training.
+        rows = cut(rows)
+        share = [i / (boosting.BINS - 1) for i in range(boosting.BINS - 1)]
+        seen = [F.count_if(~F.col("_valid") & (F.col("_y") == y)).alias(f"n{y}") for y in (0, 1)]
+        one = rows.agg(F.count(F.lit(1)).alias("n"), *seen, *[F.percentile_approx(c, share, 10_000).alias(f"e{i}") for i, c in enumerate(cols)]).first()
+        if not one["n0"] or not one["n1"]:
+            raise ValueError("training needs both labels")
+        edges = [np.unique(one[f"e{i}"]) for i in range(len(cols))]
+        ranks = max(1, min(cores // len(parts), -(-one["n"] // boosting.TASK_ROWS)))
+        work = boosting.training(edges, float(np.log(one["n1"] / one["n0"])), one["n"] > one["n0"] + one["n1"], rounds, depth, step, seed, ranks, secrets.token_bytes(16))
+        ready.append((rows, work, ranks))
+    models: list[Trees | Exception] = [ValueError("not trained")] * len(ready)
+
+    def run(i: int) -> None:
+        try:
+            models[i] = boosting.trained(*ready[i])
+        except Exception as e:
+            models[i] = e
+
+    threads = [InheritableThread(target=run, args=(i,)) for i in range(len(ready))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    for (rows, _, _), m in zip(ready, models, strict=True):
+        release(rows)
+        if isinstance(m, Exception):
+            raise m
+    return models
+
+
+def fit(df: DataFrame, cols: list[str], rounds: int = 600, depth: int = 5, step: float = 0.1, valid_share: float = 0.05, seed: int = 42) -> Trees:
     """A boosted-tree classifier of ``y`` of up to ``rounds`` trees; a hashed share of entities is held out and ends the
-    training as soon as further trees do not help it.
+    training where ``boosting.PATIENCE`` further trees do not help it. One job, however many trees.
 
     NULL features count as 0. Raises ValueError where the training rows have only one label.
     """
-    rows = df.select("s1_idx", "y", *cols).na.fill(0.0, cols).withColumn("_valid", decision.bucket(F.col("s1_idx"), 3, 1000) < round(valid_share * 1000))
-    # Written once: it is read for the labels, and by every tree.
-    rows = cut(rows)
-    labels = rows.where("not _valid").agg(F.count_distinct("y").alias("n")).first()["n"]
-    if labels < 2:
-        raise ValueError("training needs both labels")
-    n_valid = rows.where("_valid").agg(F.count_distinct("y").alias("n")).first()["n"]
-    gbt = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=0.8)
-    if n_valid:
-        gbt = gbt.setValidationIndicatorCol("_valid")
-    return gbt.fit(_assembler(cols).transform(rows.withColumn("_y", F.col("y").cast("double"))))
-
-
-def predict(model: GBTClassificationModel, df: DataFrame, cols: list[str], name: str) -> DataFrame:
+    return fit_each([df], cols, rounds, depth, step, valid_share, seed)[0]
+
+
+def predict(model: Trees, df: DataFrame, cols: list[str], name: str) -> DataFrame:
     """``df`` with the probability of a match in column ``name``."""
-    scored = model.transform(_assembler(cols).transform(df.na.fill(0.0, cols)))
-    return scored.select(*df.columns, vector_to_array("probability")[1].alias(name))
+    filled = df.na.fill(0.0, cols)
+    return filled.select(*df.columns, model.column(cols).alias(name))
 
 
-def save_model(model: GBTClassificationModel, path: str) -> None:
+def save_model(model: Trees, path: str) -> None:
     """Write the model to a folder."""
-    PipelineModel([model]).write().overwrite().save(path)
+    SparkSession.active().createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_model(path: str) -> GBTClassificationModel:
+def load_model(path: str) -> Trees:
     """The model that ``save_model`` wrote."""
-    return PipelineModel.load(path).stages[0]
+    return Trees.from_json(SparkSession.active().read.text(path).first()["value"])
 
 
 def labelled(df: DataFrame, pool: DataFrame, n_folds: int = 2, salt: int = 42) -> DataFrame:
@@ -67,12 +91,12 @@ def labelled(df: DataFrame, pool: DataFrame, n_folds: int = 2, salt: int = 42) -
     return df.join(pool.select(F.col("idx").alias("pool_idx"), "gid"), "pool_idx").withColumns({"y": (F.col("gid") == F.col("s1_idx")).cast("tinyint"), "fold": decision.bucket(F.col("s1_idx"), salt, n_folds).cast("tinyint")}).drop("gid")
 
 
-def train_reranker(cands: DataFrame, s1: DataFrame, pool: DataFrame, rounds: int = 200) -> GBTClassificationModel:
+def train_reranker(cands: DataFrame, s1: DataFrame, pool: DataFrame, rounds: int = 200) -> Trees:
     """The small model of the second retrieval pass, from all given candidates (``pipeline.rerank_recall`` measures one on half of the entities)."""
     return fit(labelled(pairs.rerank_features(cands, s1, pool), pool), RERANK_FEATURES, rounds)
 
 
-def rerank(cands: DataFrame, s1: DataFrame, pool: DataFrame, model: GBTClassificationModel, keep: int) -> DataFrame:
+def rerank(cands: DataFrame, s1: DataFrame, pool: DataFrame, model: Trees, keep: int) -> DataFrame:
     """``cands`` with ``rr``, the ``keep`` best per Source 1 record; ties to the smaller ``pool_idx``."""
     f = predict(model, pairs.rerank_features(cands, s1, pool), RERANK_FEATURES, "rr")
     w = Window.partitionBy("s1_idx").orderBy(F.desc("rr"), "pool_idx")
@@ -83,7 +107,7 @@ def rerank(cands: DataFrame, s1: DataFrame, pool: DataFrame, model: GBTClassific
 class CrossFit:
     """Two models, each fitted on one fold of entities."""
 
-    models: dict[int, GBTClassificationModel]
+    models: dict[int, Trees]
     columns: list[str]
 
     def out_of_fold(self, df: DataFrame, name: str) -> DataFrame:
@@ -99,7 +123,7 @@ class CrossFit:
 
 def cross_fit(df: DataFrame, cols: list[str], rounds: int = 600) -> CrossFit:
     """One model per fold of ``df`` (``y``, ``fold`` 0 or 1)."""
-    return CrossFit({k: fit(df.where(F.col("fold") == k), cols, rounds) for k in (0, 1)}, cols)
+    return CrossFit(dict(enumerate(fit_each([df.where(F.col("fold") == k) for k in (0, 1)], cols, rounds))), cols)
 
 
 def two_stage(features: DataFrame, prune: float = 0.01, rounds: int = 600, sample: float = 1.0, pool_context: bool = True) -> tuple[DataFrame, CrossFit, CrossFit]:

@@ -282,12 +282,16 @@ def rerank_recall(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(pipeline.rerank_recall(cut(_cands(spark, d).drop("p")), _s1(spark, d), cut(_pool(spark, d)), _known(spark, d), [5, 10, 20, 50]))
 
 
-def _trained(spark: SparkSession, d: str) -> tuple[pipeline.Linker, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(linker, its out-of-fold scores, features of all candidates, Source 1, pool, labelled records); candidates as given, with ``rr``."""
-    s1, pool, known = _s1(spark, d), cut(_pool(spark, d)), cut(_known(spark, d))
+def _given(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates as given, with ``rr``, every pair once."""
     given = table(spark, d, "candidates").where("bscore is not null and not isnan(bscore)")
-    c = given.groupBy("s1_idx", "pool_idx").agg(F.max("bscore").alias("bscore"), F.max("n_keys").alias("n_keys"), F.max("rr").alias("rr"))
-    features = cut(pipeline.feature_table(c, s1, pool))
+    return given.groupBy("s1_idx", "pool_idx").agg(F.max("bscore").alias("bscore"), F.max("n_keys").alias("n_keys"), F.max("rr").alias("rr"))
+
+
+def _trained(spark: SparkSession, d: str, unlabelled: bool = False) -> tuple[pipeline.Linker, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(linker, its out-of-fold scores, features of the labelled records' candidates or of all, Source 1, pool, labelled records)."""
+    s1, pool, known = _s1(spark, d), cut(_pool(spark, d)), cut(_known(spark, d))
+    features = cut(pipeline.feature_table(_given(spark, d), s1, pool, of=None if unlabelled else known))
     linker, scores = pipeline.train(features.join(known, "s1_idx", "left_semi"), known, pool)
     return linker, scores, features, s1, pool, known
 
@@ -299,18 +303,17 @@ def pair_model(spark: SparkSession, d: str) -> DataFrame:
 
 def model_quality(spark: SparkSession, d: str) -> DataFrame:
     """Macro F 0.5 of both stages out of fold, by threshold, and of the stored stage-1 models where a hashed fifth of the records is absent."""
-    linker, scores, _, s1, pool, known = _trained(spark, d)
+    linker, scores, features, s1, pool, known = _trained(spark, d)
     grid = [0.6, 0.7, 0.8, 0.9]
     rows = [decision.threshold_sweep(scores, known, pool, grid, p).where("only_best").withColumn("stage", F.lit(p)) for p in ("p1", "p2")]
     present = decision.subset(known, "s1_idx", 0.81)
-    c = table(spark, d, "candidates").where("bscore is not null and not isnan(bscore)").groupBy("s1_idx", "pool_idx").agg(F.max("bscore").alias("bscore"), F.max("n_keys").alias("n_keys"), F.max("rr").alias("rr"))
-    rows.append(pipeline.evaluate(linker.first, pipeline.feature_table(c, s1, pool, present), present, pool).withColumns({"only_best": F.lit(True), "stage": F.lit("p1 of present records")}))
+    rows.append(pipeline.evaluate(linker.first, pipeline.feature_table(_given(spark, d), s1, pool, present, made=features), present, pool).withColumns({"only_best": F.lit(True), "stage": F.lit("p1 of present records")}))
     return _rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]).drop("only_best"))
 
 
 def linkage_run(spark: SparkSession, d: str) -> DataFrame:
     """Matches and candidates of every Source 1 record whose partners are not known, as lists of ids."""
-    linker, _, features, s1, pool, known = _trained(spark, d)
+    linker, _, features, s1, pool, known = _trained(spark, d, unlabelled=True)
     scored = cut(linker.candidates(features.join(known, "s1_idx", "left_anti")))
     unknown = s1.join(known.select(F.col("s1_idx").alias("idx")), "idx", "left_anti")
     return pipeline.result_lists(scored, linker.matches(scored), unknown, pool)
