@@ -1,0 +1,55 @@
+"""What the search drops before it is sent: nothing that belongs to the result, and most of what a frequent word brings."""
+
+import random
+
+import pyarrow as pa
+from kinmatch.llm import linkage
+from pyspark.sql import functions as F
+
+
+def _rows(spark, seed, n, words, per):
+    rng = random.Random(seed)
+    rows = [(i, sorted({rng.choice(words) for _ in range(per)}), sorted({rng.choice((1, 2, 3)), rng.choice((11, 12, 13, 14)), rng.choice((21, 22, 23, 24, 25))})) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, terms array<long>, common array<long>").cache()
+
+
+def test_bounds_drop_nothing_that_is_near(spark):
+    rng = random.Random(5)
+    words = [100 + int(x * x * 60) for x in (rng.random() for _ in range(4000))]
+    queries, docs = _rows(spark, 1, 60, words, 6), _rows(spark, 2, 150, words, 6)
+    index = linkage.Index(queries, docs)
+    every = index.score(queries.select(F.col("id").alias("q")).crossJoin(docs.select(F.col("id").alias("d"))))
+    terms = {r["id"]: set(r["terms"]) for r in docs.collect()}
+    asked = {r["id"]: set(r["terms"]) for r in queries.collect()}
+    by_q = {}
+    for r in every.collect():
+        if r["score"] >= 0.3 * r["own"] and asked[r["q"]] & terms[r["d"]]:
+            by_q.setdefault(r["q"], []).append((round(r["score"], 9), r["d"], r["own"]))
+    want = set()
+    for q, found in by_q.items():
+        found.sort(reverse=True)
+        second = found[min(1, len(found) - 1)][0]
+        want |= {(q, d) for s, d, own in found if s >= second and s >= found[0][0] - 0.3 * own - 1e-9}
+    for far in (False, True):
+        got = {(r["q"], r["d"]) for r in index.nearest(2, ties=True, within=0.3, far=far).collect()}
+        assert got == want and want
+    index.release()
+
+
+def test_a_frequent_word_alone_is_not_sent(spark):
+    # One document is a copy; two hundred share a frequent word and nothing else, and can't come near the floor.
+    docs = spark.createDataFrame([(0, [1, 2, 3, 9], [50])] + [(i, [100 + i, 200 + i, 9], [60 + i % 2]) for i in range(1, 201)], "id long, terms array<long>, common array<long>")
+    queries = spark.createDataFrame([(7, [1, 2, 3, 9], [50])], "id long, terms array<long>, common array<long>")
+    index = linkage.Index(queries, docs)
+    asked = index.queries.withColumn("floor", 0.3 * F.col("own"))
+    for far in (False, True):
+        # 300 best: only the floor can drop anything.
+        assert [(r["q"], r["d"]) for r in index.looked_up(asked, F.lit(0), F.size("t"), 300, far=far).collect()] == [(7, 0)]
+    index.release()
+
+
+def test_runs_stay_whole():
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], ["q"]) for x in ([1, 1, 2], [2, 2], [2, 3], [3, 4], [4])]
+    got = [x["q"].to_pylist() for x in linkage.whole_runs(iter(batches), "q", 2)]
+    assert sum(got, []) == [1, 1, 2, 2, 2, 2, 3, 3, 4, 4] and len(got) > 2
+    assert all(a[-1] != b[0] for a, b in zip(got, got[1:]))
