@@ -30,9 +30,8 @@ def test_bounds_drop_nothing_that_is_near(spark):
         found.sort(reverse=True)
         second = found[min(1, len(found) - 1)][0]
         want |= {(q, d) for s, d, own in found if s >= second and s >= found[0][0] - 0.3 * own - 1e-9}
-    for far in (False, True):
-        got = {(r["q"], r["d"]) for r in index.nearest(2, ties=True, within=0.3, far=far).collect()}
-        assert got == want and want
+    got = {(r["q"], r["d"]) for r in index.nearest(2, ties=True, within=0.3).collect()}
+    assert got == want and want
     index.release()
 
 
@@ -42,9 +41,8 @@ def test_a_frequent_word_alone_is_not_sent(spark):
     queries = spark.createDataFrame([(7, [1, 2, 3, 9], [50])], "id long, terms array<long>, common array<long>")
     index = linkage.Index(queries, docs)
     asked = index.queries.withColumn("floor", 0.3 * F.col("own"))
-    for far in (False, True):
-        # 300 best: only the floor can drop anything.
-        assert [(r["q"], r["d"]) for r in index.looked_up(asked, F.lit(0), F.size("t"), 300, far=far).collect()] == [(7, 0)]
+    # 300 best: only the floor can drop anything.
+    assert [(r["q"], r["d"]) for r in index.looked_up(asked, F.lit(0), F.size("t"), 300).collect()] == [(7, 0)]
     index.release()
 
 
